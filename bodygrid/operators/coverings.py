@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bodygrid.functions import address as ad
+from bodygrid.session import cut_lineage
 from bodygrid.operators.hierjoin import ancestor_join, contained_semi, overlap_join, overlap_keys
 
 
@@ -32,7 +33,8 @@ def normalize(df: DataFrame, ids: Sequence[str], key: str = "cell_key") -> DataF
     below it add up to its own width. One map-side-combined sum over ancestor keys
     therefore finds every roll-up of every depth at once, with no loop over rungs.
     """
-    cells = maximal_cells(df, ids, key)
+    # Used five times below: written once instead of recomputed from the input each time.
+    cells = cut_lineage(maximal_cells(df, ids, key))
     full = (
         cells.select(
             *ids,
@@ -45,7 +47,11 @@ def normalize(df: DataFrame, ids: Sequence[str], key: str = "cell_key") -> DataF
         .drop("_w")
     )
     # Members are disjoint, so only a filled ancestor can cover a member or another filled cell.
-    return maximal_cells(cells.unionByName(full), ids, key)
+    candidates = cells.unionByName(full)
+    covered = ancestor_join(
+        candidates, full.withColumnRenamed(key, "_outer"), key, "_outer", by=ids, strict=True, how="left_semi"
+    ).distinct()
+    return candidates.join(covered, [*ids, key], "left_anti")
 
 
 def union(parts: Sequence[DataFrame], ids: Sequence[str], key: str = "cell_key") -> DataFrame:

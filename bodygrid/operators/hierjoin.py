@@ -48,15 +48,16 @@ def ancestor_join(
     strict: bool = False,
     how: str = "inner",
     salts: int = SALTS,
-    prune: bool = True,
+    prune: bool = False,
 ) -> DataFrame:
     """Join each ``fine`` row to the ``coarse`` rows whose cell contains it.
 
     ``by`` are extra equality columns, by the same name on both sides. ``how``
     may be ``inner`` or ``left_semi``; a semi join can repeat a fine row once per
-    matching rung, so callers that need one row take ``distinct``.
+    matching rung, so callers that need one row take ``distinct``. ``prune`` explodes
+    only to rungs that occur in ``coarse``; it scans that side once more, so it is for
+    stored tables such as a published index.
     """
-    # The coarse keys are known to be present at few rungs; explode only to those.
     rungs = _rungs_present(coarse, coarse_key) if prune else None
     f = fine
     if rungs is not None:
@@ -82,17 +83,18 @@ def overlap_join(
     *,
     by: Sequence[str] = (),
     salts: int = SALTS,
-    prune: bool = True,
+    prune_left: bool = False,
 ) -> DataFrame:
     """Every (left, right) pair whose cells overlap, with the finer cell's key.
 
-    Column names other than ``by`` must be distinct. Adds ``finer_key``: the
+    Column names other than ``by`` must be distinct. ``prune_left`` explodes the left
+    side only to rungs the (stored) right side has. Adds ``finer_key``: the
     intersection of the pair.
     """
-    inside = ancestor_join(left, right, left_key, right_key, by=by, salts=salts, prune=prune).withColumn(
+    inside = ancestor_join(left, right, left_key, right_key, by=by, salts=salts, prune=prune_left).withColumn(
         "finer_key", F.col(left_key)
     )
-    around = ancestor_join(right, left, right_key, left_key, by=by, strict=True, salts=salts, prune=prune).withColumn(
+    around = ancestor_join(right, left, right_key, left_key, by=by, strict=True, salts=salts).withColumn(
         "finer_key", F.col(right_key)
     )
     return inside.unionByName(around)

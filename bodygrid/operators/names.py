@@ -77,22 +77,27 @@ def overlaps_by_structure(queries: DataFrame, index: DataFrame) -> DataFrame:
     """Overlap width of every (query cell, structure) pair; queries are deduplicated first."""
     q = queries.select("cell_key").distinct()
     x = index.select("structure_id", F.col("cell_key").alias("_sk"))
-    pairs = overlap_join(q, x, "cell_key", "_sk")
+    pairs = overlap_join(q, x, "cell_key", "_sk", prune_left=True)
     return pairs.groupBy("cell_key", "structure_id").agg(
         F.sum(ad.key_width(F.col("finer_key"))).alias("overlap_width")
     )
 
 
-def claimed_width(queries: DataFrame, index: DataFrame) -> DataFrame:
+def index_union(index: DataFrame) -> DataFrame:
+    """Maximal cells of all structures together; published with the index and reused by every query."""
+    return cv.maximal_cells(index, [])
+
+
+def claimed_width(queries: DataFrame, union: DataFrame) -> DataFrame:
     """Width of each query cell that at least one structure claims.
 
     The union over structures is the index's maximal cells, computed once, so no
     per-query interval merge is needed.
     """
-    union = cv.maximal_cells(index, []).withColumnRenamed("cell_key", "_uk")
+    union = union.withColumnRenamed("cell_key", "_uk")
     q = queries.select("cell_key").distinct()
     return (
-        overlap_join(q, union, "cell_key", "_uk")
+        overlap_join(q, union, "cell_key", "_uk", prune_left=True)
         .groupBy("cell_key")
         .agg(F.sum(ad.key_width(F.col("finer_key"))).alias("claimed_width"))
     )
@@ -117,6 +122,7 @@ def resolve(
     structures: DataFrame,
     version: str,
     *,
+    union: DataFrame | None = None,
     min_fraction: float = 0.0,
     limit: int | None = None,
 ) -> DataFrame:
@@ -127,13 +133,14 @@ def resolve(
     A cell nothing overlaps keeps one row with a NULL structure and a note.
     """
     _fraction_check(min_fraction)
+    union = index_union(index) if union is None else union
     width = ad.key_width(F.col("cell_key"))
     per = overlaps_by_structure(queries, index).withColumn("fraction", F.col("overlap_width") / width)
     ranked = _rank(per.filter(F.col("fraction") >= min_fraction), "cell_key", limit)
     ranked = ranked.join(structures.select("structure_id", "structure_name"), "structure_id")
     q = queries.select("cell_key").distinct()
     return (
-        q.join(claimed_width(q, index), "cell_key", "left")
+        q.join(claimed_width(q, union), "cell_key", "left")
         .join(ranked, "cell_key", "left")
         .withColumn("claimed_width", F.coalesce("claimed_width", F.lit(0)))
         .withColumn("unclaimed_fraction", 1 - F.col("claimed_width") / width)
@@ -143,7 +150,13 @@ def resolve(
 
 
 def resolve_coverings(
-    coverings: DataFrame, covering_id: str, index: DataFrame, *, min_fraction: float = 0.0, limit: int | None = None
+    coverings: DataFrame,
+    covering_id: str,
+    index: DataFrame,
+    *,
+    union: DataFrame | None = None,
+    min_fraction: float = 0.0,
+    limit: int | None = None,
 ) -> DataFrame:
     """Measure-weighted ranking per covering. ``coverings`` must be disjoint.
 
@@ -157,7 +170,7 @@ def resolve_coverings(
     c = coverings.select(covering_id, "cell_key")
     pairs = overlap_join(c, index.select("structure_id", F.col("cell_key").alias("_sk")), "cell_key", "_sk")
     per = pairs.groupBy(covering_id, "structure_id").agg(F.sum(units("finer_key")).alias("overlap_units"))
-    union = cv.maximal_cells(index, []).withColumnRenamed("cell_key", "_uk")
+    union = (index_union(index) if union is None else union).withColumnRenamed("cell_key", "_uk")
     claimed = (
         overlap_join(c, union, "cell_key", "_uk").groupBy(covering_id).agg(F.sum(units("finer_key")).alias("claimed_units"))
     )
@@ -225,13 +238,18 @@ def indexed_frames(index: DataFrame) -> DataFrame:
 
 
 def names_at_precision(
-    queries: DataFrame, max_digits: Column | int, index: DataFrame, structures: DataFrame, version: str
+    queries: DataFrame,
+    max_digits: Column | int,
+    index: DataFrame,
+    structures: DataFrame,
+    version: str,
+    union: DataFrame | None = None,
 ) -> DataFrame:
     """Demote each cell to the display template's precision, resolve, and flag frames the index lacks."""
     q = queries.withColumn("shown_cell", ad.demote(F.col("cell"), max_digits))
     q = ad.with_key(q, "shown_cell", "shown_key").withColumn("frame", ad.frame_of(F.col("cell")))
     q = q.withColumn("demoted", F.col("shown_cell") != F.col("cell"))
-    res = resolve(q.select(F.col("shown_key").alias("cell_key")), index, structures, version)
+    res = resolve(q.select(F.col("shown_key").alias("cell_key")), index, structures, version, union=union)
     frames = indexed_frames(index).withColumn("frame_indexed", F.lit(True))
     return (
         q.join(res.withColumnRenamed("cell_key", "shown_key"), "shown_key", "left")
