@@ -307,7 +307,7 @@ def cell_text(key: Column) -> Column:
     half = F.lit(12 * fr.FACE_WIDTH)
     hexa = F.lpad(F.conv((off % half).cast("string"), 10, 16), 7, "0")
     br = F.concat_ws("-", F.lit("BR"), F.when(off < half, "L").otherwise("R"), F.substring(hexa, F.lit(1), rung))
-    return F.when(lo < fr.BV_START, bd).when(lo < fr.BR_START, bv).otherwise(br)
+    return F.when(lo < fr.BV_START, bd).when(lo < fr.BR_START, bv).when(lo.isNotNull(), br)
 
 
 def with_key(df: DataFrame, cell: str = "cell", out: str = "cell_key") -> DataFrame:
