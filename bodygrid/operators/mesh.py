@@ -367,12 +367,27 @@ def tier_problems(full: DataFrame, tier: DataFrame, published: DataFrame) -> Dat
     )
 
 
+# The surface match rule, millimetres and shares.
+MAX_MEAN_SYMMETRIC_MM, MAX_P95_MM, MIN_LABEL_AGREEMENT, MAX_CONTROL_PASS_SHARE = 1.5, 3.0, 0.9, 0.05
+
+
+def origin_summary(scored: DataFrame) -> DataFrame:
+    """One verdict: every structure matches its own reference and few controls pass; no rows is vacuous."""
+    g = scored.agg(
+        F.count(F.lit(1)).alias("structures"),
+        F.count_if("matched").alias("matched"),
+        F.avg(F.col("control_passes").cast("double")).alias("control_pass_share"),
+    )
+    ok = (C("matched") == C("structures")) & (C("control_pass_share") <= MAX_CONTROL_PASS_SHARE)
+    return g.withColumn("verdict", F.when(C("structures") == 0, "vacuous").when(ok, "pass").otherwise("fail"))
+
+
 def origin_verdict(scores: DataFrame) -> DataFrame:
     """Own match against nearest-other control per structure, and the share of controls that pass.
 
     scores: name, own_mean, own_p95, own_agreement, other_mean, other_p95, other_agreement.
     """
-    ok = lambda m, p, a: (C(m) <= 2.0) & (C(p) <= 5.0) & (C(a) >= 0.9)
+    ok = lambda m, p, a: (C(m) <= MAX_MEAN_SYMMETRIC_MM) & (C(p) <= MAX_P95_MM) & (C(a) >= MIN_LABEL_AGREEMENT)
     d = scores.withColumn("matched", ok("own_mean", "own_p95", "own_agreement")).withColumn("control_passes", ok("other_mean", "other_p95", "other_agreement"))
     return d
 
