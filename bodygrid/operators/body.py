@@ -172,10 +172,11 @@ def encode_body(points: DataFrame, geo: DataFrame, digits: int) -> DataFrame:
             "_i": F.when(nc == 1, F.get("_claim", F.lit(0))["pos"]).when(nc > 1, dist("_claim")).when(first["a"] < 0, 0).when(last["b"] >= 0, n - 1).otherwise(dist("_sig")),
         },
     )
-    d = once(d, {"_s": F.get("levels", C("_i")), "_g": F.get("_sig", C("_i"))})
-    ca, sa = _polar(p, C("_s"))
-    d = once(d, {"_ca": ca, "_sa": sa})
-    a, b = C("_g")["a"], C("_g")["b"]
+    own = F.get("levels", C("_i"))
+    ca, sa = _polar(p, own)
+    g = F.get("_sig", C("_i"))
+    d = once(d, {"_ca": ca, "_sa": sa, "_ga": g["a"], "_gb": g["b"], "_rd": own["radii"], "_lb": own["label"]})
+    a, b = C("_ga"), C("_gb")
     part = F.when(a - b != 0, a / (a - b)).otherwise(0.0)
     edge = F.lit(pt.NEAR_ONE)
     d = once(
@@ -185,7 +186,7 @@ def encode_body(points: DataFrame, geo: DataFrame, digits: int) -> DataFrame:
             "_t": _turn(C("_ca"), C("_sa")),
         },
     )
-    surface = radius_at(C("_s")["radii"], C("_t"))
+    surface = radius_at(C("_rd"), C("_t"))
     d = once(d, {"_r": F.when(surface > 0, F.sqrt(C("_ca") * C("_ca") + C("_sa") * C("_sa")) / surface).otherwise(0.0)})
 
     def reaches(s):
@@ -199,7 +200,7 @@ def encode_body(points: DataFrame, geo: DataFrame, digits: int) -> DataFrame:
         {
             "folded": (C("_case") == "gap") | ((nc > 1) | (F.size("_back") > 0)) & rivals,
             "clamped": (C("_case") != "claimed") | (C("_r") > 1),
-            "level": C("_s")["label"],
+            "level": C("_lb"),
             "u": C("_u"),
             "t": C("_t"),
             "r": F.when(C("_r") > 1, edge).otherwise(C("_r")),
@@ -358,12 +359,16 @@ def scan_folds(levels: DataFrame, geo: DataFrame, azimuths: int = 240, us=(0.02,
     """Skin points whose own level is not the single claimant: counts per template and level, by kind."""
     g = skin_samples(levels, azimuths, list(us), list(rs))
     s = F.struct("pos", "label", "n0", "n1", "m0", "m1", "dir", "len", "ant", "lft", "radii")
-    g = g.select("template_id", "label", "su", "st", "sr", s.alias("_s"))
-    g = local_to_mm(g, "_s", C("su"), C("st"), C("sr")).filter("x is not null").select("template_id", "label", "x", "y", "z")
-    c = with_claims(g, geo)
-    one = (F.size("_claim") == 1) & (F.get("_claim", F.lit(0))["label"] == C("label"))
-    kind = F.when(F.coalesce(one, F.lit(False)), "sound").when(F.size("_claim") > 1, "ambiguous").when(F.size("_claim") == 0, "unclaimed").otherwise("lost")
-    return c.groupBy("template_id", "label").agg(
+    key = ["template_id", "label", "su", "st", "sr"]
+    g = local_to_mm(g.select(*key, s.alias("_s")), "_s", C("su"), C("st"), C("sr")).filter("x is not null").select(*key, "x", "y", "z")
+    # Sample x level rows in generated code; the claims of a sample are summed before any shuffle.
+    lv = levels.select("template_id", C("label").alias("other"), "n0", "n1", "m0", "m1")
+    j = g.join(lv, "template_id")
+    side = lambda n, m: _dot([c - C(n)[i] for i, c in enumerate(_point())], _vec(C(m)))
+    j = j.withColumn("_c", (side("n0", "m0") >= 0) & (side("n1", "m1") < 0))
+    per = j.groupBy(*key).agg(F.count_if("_c").alias("n"), F.bool_or(C("_c") & (C("other") == C("label"))).alias("own"))
+    kind = F.when((C("n") == 1) & C("own"), "sound").when(C("n") > 1, "ambiguous").when(C("n") == 0, "unclaimed").otherwise("lost")
+    return per.groupBy("template_id", "label").agg(
         F.count(F.lit(1)).alias("probed"), *[F.count_if(kind == k).alias(k) for k in ("ambiguous", "unclaimed", "lost")]
     )
 

@@ -81,7 +81,8 @@ def levels_of_points(spark, sf):
 
 @query(
     ctes(BODY)
-    + f"""SELECT point_id, CASE WHEN z > 0 THEN 'cranial' WHEN -z >= {N} * h THEN 'caudal' ELSE CASE left(level, 1) WHEN 'C' THEN 'cervical' WHEN 'T' THEN 'thoracic' WHEN 'L' THEN 'lumbar' ELSE 'sacral' END END AS band FROM enc"""
+    + f""", o AS (SELECT point_id, z, h, {T.LEVELS_SQL}[CAST(floor((-z - h / 2) / h) AS INT) + 1] AS level FROM b1)
+    SELECT point_id, CASE WHEN -z - h / 2 < 0 THEN 'cranial' WHEN -z - h / 2 >= {N} * h THEN 'caudal' ELSE CASE left(level, 1) WHEN 'C' THEN 'cervical' WHEN 'T' THEN 'thoracic' WHEN 'L' THEN 'lumbar' ELSE 'sacral' END END AS band FROM o"""
 )
 def body_bands(spark, sf):
     return bd.bands(body_points(spark, sf), slabs(spark, sf)).select("point_id", "band")
