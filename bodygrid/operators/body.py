@@ -362,9 +362,10 @@ def scan_folds(levels: DataFrame, geo: DataFrame, azimuths: int = 240, us=(0.02,
     key = ["template_id", "label", "su", "st", "sr"]
     g = local_to_mm(g.select(*key, s.alias("_s")), "_s", C("su"), C("st"), C("sr")).filter("x is not null").select(*key, "x", "y", "z")
     # Sample x level rows in generated code; the claims of a sample are summed before any shuffle.
-    lv = levels.select("template_id", C("label").alias("other"), "n0", "n1", "m0", "m1")
+    flat = [C(n)[i].alias(f"{n}{i}") for n in ("n0", "n1", "m0", "m1") for i in range(3)]
+    lv = levels.select("template_id", C("label").alias("other"), *flat)
     j = g.join(lv, "template_id")
-    side = lambda n, m: _dot([c - C(n)[i] for i, c in enumerate(_point())], _vec(C(m)))
+    side = lambda n, m: _dot([c - C(f"{n}{i}") for i, c in enumerate(_point())], [C(f"{m}{i}") for i in range(3)])
     j = j.withColumn("_c", (side("n0", "m0") >= 0) & (side("n1", "m1") < 0))
     per = j.groupBy(*key).agg(F.count_if("_c").alias("n"), F.bool_or(C("_c") & (C("other") == C("label"))).alias("own"))
     kind = F.when((C("n") == 1) & C("own"), "sound").when(C("n") > 1, "ambiguous").when(C("n") == 0, "unclaimed").otherwise("lost")
