@@ -112,7 +112,10 @@ def encode_brain(df: DataFrame, x: str, y: str, z: str, tpl: dict, digits: int |
     unit = lambda c: F.floor(F.least(F.lit(NEAR_ONE), F.greatest(F.lit(0.0), F.col(c))) * 4096)
     hemi = F.when(lat >= 0, F.lit(fr.BV_START)).otherwise(F.lit(fr.BV_START + fr.OCT12))
     left = lambda v, n: F.call_function("shiftleft", v, F.lit(n))
-    morton = left(_spread(unit("_a"), 3), 2).bitwiseOR(left(_spread(unit("_b"), 3), 1)).bitwiseOR(_spread(unit("_c"), 3))
+    bits = {"_ai": unit("_a"), "_bi": unit("_b"), "_ci": unit("_c")}
+    d = once(d, bits)
+    d = once(d, {c: _spread(F.col(c), 3) for c in bits})
+    morton = left(F.col("_ai"), 2).bitwiseOR(left(F.col("_bi"), 1)).bitwiseOR(F.col("_ci"))
     ok = F.col("error_code").isNull()
     k = F.lit(digits) if isinstance(digits, int) else digits
     d = once(
@@ -132,7 +135,7 @@ def encode_brain(df: DataFrame, x: str, y: str, z: str, tpl: dict, digits: int |
         },
     )
     d = d.withColumn("cell_key", ad.key_at(F.col("_lo"), k))
-    return d.drop("_lat", "_ant", "_sup", "_a", "_b", "_c", "_lo")
+    return d.drop("_lat", "_ant", "_sup", "_a", "_b", "_c", "_ai", "_bi", "_ci", "_lo")
 
 
 def locate_brain(df: DataFrame, key: str, tpl: dict) -> DataFrame:

@@ -17,6 +17,7 @@ from bodygrid import frames as fr
 from bodygrid.functions import address as ad
 from bodygrid.functions import points as pt
 from bodygrid.functions.once import once
+from bodygrid.session import broadcast_if_small
 
 C = F.col
 TWO_PI = 2 * math.pi
@@ -100,20 +101,6 @@ def _sides(p, s):
     return sin, sout
 
 
-def _axis_distance(p, s):
-    rel = [p[i] - s["n0"][i] for i in range(3)]
-    along = F.least(s["len"], F.greatest(F.lit(0.0), _dot(rel, _vec(s["dir"]))))
-    off = [rel[i] - s["dir"][i] * along for i in range(3)]
-    return F.sqrt(_dot(off, off))
-
-
-def _polar(p, s):
-    rel = [p[i] - s["n0"][i] for i in range(3)]
-    along = _dot(rel, _vec(s["dir"]))
-    perp = [rel[i] - s["dir"][i] * along for i in range(3)]
-    return _dot(perp, _vec(s["ant"])), _dot(perp, _vec(s["lft"]))
-
-
 def _turn(ca, sa):
     t = F.atan2(sa, ca) / TWO_PI
     t = F.when(t < 0, t + 1).otherwise(t)
@@ -124,100 +111,96 @@ def _point():
     return [C("x"), C("y"), C("z")]
 
 
-def with_claims(points: DataFrame, geo: DataFrame) -> DataFrame:
-    """Join points to their template and list which levels claim them and which run backwards there."""
-    d = points.join(geo, "template_id")
-    p = _point()
-    # Distances to the two planes of each level, once per level.
-    sig = F.transform("levels", lambda s: F.struct(s["pos"].alias("pos"), s["label"].alias("label"), _sides(p, s)[0].alias("a"), _sides(p, s)[1].alias("b")))
-    d = once(d, {"_sig": sig})
-    return once(
-        d,
-        {
-            "_claim": F.filter("_sig", lambda s: (s["a"] >= 0) & (s["b"] < 0)),
-            "_back": F.filter("_sig", lambda s: (s["a"] < 0) & (s["b"] >= 0)),
-        },
-    )
+def flat_levels(levels: DataFrame) -> DataFrame:
+    """Levels with their vectors as plain columns, so that the geometry runs in generated code."""
+    flat = [C(n)[i].alias(f"{n}{i}") for n in ("n0", "n1", "m0", "m1", "dir", "ant", "lft") for i in range(3)]
+    last = F.max("pos").over(Window.partitionBy("template_id"))
+    d = levels.select("template_id", C("pos").alias("_pos"), C("label").alias("_label"), C("len").alias("_len"), C("radii").alias("_radii"), *flat, last.alias("_last"))
+    # At most 32 short rows per template.
+    return broadcast_if_small(d, 32_000)
 
 
-def levels_claiming(points: DataFrame, geo: DataFrame) -> DataFrame:
-    """Labels of the levels claiming each point, and of those with an in-body address for it."""
-    d = with_claims(points, geo)
+def point_levels(points: DataFrame, levels: DataFrame) -> DataFrame:
+    """Every point with every level of its template: plane distances, axis distance, azimuth and depth."""
     p = _point()
-    lv = lambda s: F.get("levels", s["pos"])
-
-    def in_body(s):
-        ca, sa = _polar(p, lv(s))
-        return F.sqrt(ca * ca + sa * sa) <= radius_at(lv(s)["radii"], _turn(ca, sa))
+    v = lambda n: [C(f"{n}{i}") for i in range(3)]
+    j = points.join(flat_levels(levels), "template_id")
+    rel = [p[i] - C(f"n0{i}") for i in range(3)]
+    j = j.withColumn("_a", _dot(rel, v("m0"))).withColumn("_b", _dot([p[i] - C(f"n1{i}") for i in range(3)], v("m1"))).withColumn("_al", _dot(rel, v("dir")))
+    on = F.least(C("_len"), F.greatest(F.lit(0.0), C("_al")))
+    off = [rel[i] - C(f"dir{i}") * on for i in range(3)]
+    perp = [rel[i] - C(f"dir{i}") * C("_al") for i in range(3)]
+    j = once(j, {"_d": F.sqrt(_dot(off, off)), "_ca": _dot(perp, v("ant")), "_sa": _dot(perp, v("lft"))})
+    j = once(j, {"_t": _turn(C("_ca"), C("_sa"))})
+    surface = radius_at(C("_radii"), C("_t"))
+    j = once(j, {"_r": F.when(surface > 0, F.sqrt(C("_ca") * C("_ca") + C("_sa") * C("_sa")) / surface).otherwise(0.0)})
+    return j.withColumn("_claim", (C("_a") >= 0) & (C("_b") < 0)).withColumn("_back", (C("_a") < 0) & (C("_b") >= 0))
+
+
+def levels_claiming(points: DataFrame, levels: DataFrame) -> DataFrame:
+    """Labels of the levels claiming each point, and of those with an in-body address for it (at most 32 each)."""
+    j = point_levels(points, levels)
+    names = lambda cond: F.transform(F.array_sort(F.collect_set(F.when(cond, F.struct("_pos", "_label")))), lambda s: s["_label"])
+    return j.groupBy(*points.columns).agg(
+        names(C("_claim")).alias("claiming"), names((C("_claim") | C("_back")) & (C("_r") <= 1)).alias("addressing")
+    )
 
-    both = F.array_sort(F.concat("_claim", "_back"))
-    addressing = F.transform(F.filter(both, in_body), lambda s: s["label"])
-    return d.select(*points.columns, F.transform("_claim", lambda s: s["label"]).alias("claiming"), addressing.alias("addressing"))
 
+def encode_body(points: DataFrame, levels: DataFrame, digits: int) -> DataFrame:
+    """Points to BD cells with clamp and fold flags. points: template_id, x, y, z and anything else.
 
-def encode_body(points: DataFrame, geo: DataFrame, digits: int) -> DataFrame:
-    """Points to BD cells with clamp and fold flags. points: template_id, x, y, z and anything else."""
+    A point meets its template's levels as rows, which are reduced to one row per point
+    before any shuffle; equal input rows are kept as often as they occur.
+    """
     keep = points.columns
-    bad = F.isnan("x") | F.isnan("y") | F.isnan("z")
-    d = with_claims(points.withColumn("error_code", F.when(bad, "nan_coordinate")), geo)
-    p = _point()
-    dist = lambda arr: F.array_min(F.transform(arr, lambda s: F.struct(_axis_distance(p, F.get("levels", s["pos"])).alias("d"), s["pos"].alias("pos"))))["pos"]
-    n = F.size("levels")
-    nc = F.size("_claim")
-    first, last = F.get("_sig", F.lit(0)), F.element_at("_sig", -1)
-    d = once(
-        d,
-        {
-            "_case": F.when(nc >= 1, "claimed").when(first["a"] < 0, "above").when(last["b"] >= 0, "below").otherwise("gap"),
-            "_i": F.when(nc == 1, F.get("_claim", F.lit(0))["pos"]).when(nc > 1, dist("_claim")).when(first["a"] < 0, 0).when(last["b"] >= 0, n - 1).otherwise(dist("_sig")),
-        },
+    j = point_levels(points, levels)
+    own = F.struct(C("_pos").alias("pos"), C("_label").alias("label"), C("_a").alias("a"), C("_b").alias("b"), C("_t").alias("t"), C("_r").alias("r"), (C("_back") & (C("_r") <= 1)).alias("back"))
+    near = F.struct(C("_d").alias("d"), C("_pos").alias("p"), own.alias("s"))
+    g = j.groupBy(*keep).agg(
+        F.count_if(C("_pos") == 0).alias("_copies"),
+        F.max(C("_claim").cast("int")).alias("_any"),
+        F.count_if("_claim").alias("_nc"),
+        F.count_if("_back").alias("_nb"),
+        F.count_if(C("_back") & (C("_r") <= 1)).alias("_reach"),
+        F.min(F.when(C("_claim"), near)).alias("_best"),
+        F.min(near).alias("_near"),
+        F.max(F.when(C("_pos") == 0, own)).alias("_first"),
+        F.max(F.when(C("_pos") == C("_last"), own)).alias("_end"),
     )
-    own = F.get("levels", C("_i"))
-    ca, sa = _polar(p, own)
-    g = F.get("_sig", C("_i"))
-    d = once(d, {"_ca": ca, "_sa": sa, "_ga": g["a"], "_gb": g["b"], "_rd": own["radii"], "_lb": own["label"]})
-    a, b = C("_ga"), C("_gb")
-    part = F.when(a - b != 0, a / (a - b)).otherwise(0.0)
+    n = C("_copies")
+    case = F.when(C("_any") == 1, "claimed").when(C("_first.a") < 0, "above").when(C("_end.b") >= 0, "below").otherwise("gap")
+    g = g.withColumn("_case", case)
+    s = F.when(C("_case") == "claimed", C("_best.s")).when(C("_case") == "above", C("_first")).when(C("_case") == "below", C("_end")).otherwise(C("_near.s"))
+    g = g.select(*keep, "_case", (C("_nc") / n).alias("_nc"), (C("_nb") / n).alias("_nb"), (C("_reach") / n).alias("_reach"), n.alias("_copies"), s.alias("_s"))
+    names = ["pos", "label", "a", "b", "t", "r", "back"]
+    g = g.select(*[c for c in g.columns if c != "_s"], *[C(f"_s.{x}").alias(f"_{x}") for x in names])
     edge = F.lit(pt.NEAR_ONE)
-    d = once(
-        d,
-        {
-            "_u": F.when(C("_case") == "claimed", part).when(C("_case") == "above", 0.0).when(C("_case") == "below", edge).otherwise(F.least(edge, F.greatest(F.lit(0.0), part))),
-            "_t": _turn(C("_ca"), C("_sa")),
-        },
-    )
-    surface = radius_at(C("_rd"), C("_t"))
-    d = once(d, {"_r": F.when(surface > 0, F.sqrt(C("_ca") * C("_ca") + C("_sa") * C("_sa")) / surface).otherwise(0.0)})
-
-    def reaches(s):
-        x, y = _polar(p, F.get("levels", s["pos"]))
-        return F.sqrt(x * x + y * y) <= radius_at(F.get("levels", s["pos"])["radii"], _turn(x, y))
-
-    other = lambda s: s["pos"] != C("_i")
-    rivals = F.exists("_claim", other) | F.exists(F.filter("_back", other), reaches)
-    d = once(
-        d,
+    part = F.when(C("_a") - C("_b") != 0, C("_a") / (C("_a") - C("_b"))).otherwise(0.0)
+    u = F.when(C("_case") == "claimed", part).when(C("_case") == "above", 0.0).when(C("_case") == "below", edge).otherwise(F.least(edge, F.greatest(F.lit(0.0), part)))
+    rival = (C("_nc") > 1) | (C("_reach") - C("_back").cast("int") > 0)
+    bad = F.isnan("x") | F.isnan("y") | F.isnan("z")
+    g = once(
+        g,
         {
-            "folded": (C("_case") == "gap") | ((nc > 1) | (F.size("_back") > 0)) & rivals,
+            "folded": (C("_case") == "gap") | (((C("_nc") > 1) | (C("_nb") > 0)) & rival),
             "clamped": (C("_case") != "claimed") | (C("_r") > 1),
-            "level": C("_lb"),
-            "u": C("_u"),
+            "level": C("_label"),
+            "u": u,
             "t": C("_t"),
             "r": F.when(C("_r") > 1, edge).otherwise(C("_r")),
+            "error_code": F.when(bad, "nan_coordinate"),
         },
     )
-    d = d.withColumn("_k", local_key(C("level"), C("u"), C("t"), C("r"), digits))
-    d = d.withColumn("cell_key", F.when(C("error_code").isNull(), C("_k")))
-    return d.select(*keep, "cell_key", "clamped", "folded", "level", "u", "t", "r", "error_code")
+    g = with_local_key(g, digits)
+    g = g.withColumn("_copy", F.explode(F.sequence(F.lit(1), C("_copies").cast("int"))))
+    return g.select(*keep, "cell_key", "clamped", "folded", "level", "u", "t", "r", "error_code")
+
 
+def with_local_key(d: DataFrame, digits: int) -> DataFrame:
+    """Add the BD ``cell_key`` of (level, u, t, r), one stage per derived value so none is evaluated twice.
 
-def local_key(level: Column, u: Column, t: Column, r: Column, digits: int) -> Column:
-    """BD key of local coordinates. Azimuth bounds are multiples of 1/24 turn, so they are bisected, not scaled."""
-    clock = pt.turn_to_clock(t)
-    lo, hi = pt.clock_to_turns(clock)
-    tt = F.pmod(t, F.lit(1.0))
-    tt = F.when(tt > hi, tt - 1).otherwise(tt)
-    tt = F.when(tt < lo, tt + 1).otherwise(tt)
+    Azimuth bounds are multiples of 1/24 turn, so they are bisected, not scaled.
+    """
 
     def halve(acc, _i):
         m = (acc["lo"] + acc["hi"]) / 2
@@ -229,16 +212,28 @@ def local_key(level: Column, u: Column, t: Column, r: Column, digits: int) -> Co
             (acc["bits"] * 2 + F.when(up, 1).otherwise(0)).cast("long").alias("bits"),
         )
 
-    zero = F.struct(lo.alias("lo"), hi.alias("hi"), tt.alias("x"), F.lit(0).cast("long").alias("bits"))
-    bits = F.aggregate(F.sequence(F.lit(1), F.lit(12)), zero, halve)["bits"]
-    outer = r >= 0.5
-    rr = F.floor(F.when(outer, r - 0.5).otherwise(r) * 8192)
+    d = once(d, {"_clock": pt.turn_to_clock(C("t")), "_x": F.pmod(C("t"), F.lit(1.0))})
+    lo, hi = pt.clock_to_turns(C("_clock"))
+    d = once(d, {"_lo": lo, "_hi": hi})
+    d = once(d, {"_x": F.when(C("_x") > C("_hi"), C("_x") - 1).otherwise(C("_x"))})
+    d = once(d, {"_x": F.when(C("_x") < C("_lo"), C("_x") + 1).otherwise(C("_x"))})
+    zero = F.struct(C("_lo").alias("lo"), C("_hi").alias("hi"), C("_x").alias("x"), F.lit(0).cast("long").alias("bits"))
+    outer = C("r") >= 0.5
+    idx = (F.array_position(F.array(*[F.lit(x) for x in fr.LEVELS]), C("level")) - 1).cast("long")
+    d = once(
+        d,
+        {
+            "_tb": F.aggregate(F.sequence(F.lit(1), F.lit(12)), zero, halve)["bits"],
+            "_ub": F.floor(C("u") * 4096),
+            "_rb": F.floor(F.when(outer, C("r") - 0.5).otherwise(C("r")) * 8192),
+            "_sector": idx * 24 + (C("_clock") - 1) * 2 + F.when(outer, 1).otherwise(0),
+        },
+    )
     left = lambda v, n: F.call_function("shiftleft", v, F.lit(n))
-    morton = left(pt._spread(F.floor(u * 4096), 3), 2).bitwiseOR(left(pt._spread(bits, 3), 1)).bitwiseOR(pt._spread(rr, 3))
-    idx = (F.array_position(F.array(*[F.lit(x) for x in fr.LEVELS]), level) - 1).cast("long")
-    sector = (clock - 1) * 2 + F.when(outer, 1).otherwise(0)
-    lo_ = (idx * 24 + sector) * F.lit(fr.OCT12) + morton
-    return ad.key_at(lo_, F.lit(digits + 1))
+    d = once(d, {c: pt._spread(C(c), 3) for c in ("_ub", "_tb", "_rb")})
+    d = once(d, {"_lo": C("_sector") * F.lit(fr.OCT12) + left(C("_ub"), 2).bitwiseOR(left(C("_tb"), 1)).bitwiseOR(C("_rb"))})
+    d = once(d, {"cell_key": F.when(C("error_code").isNull(), ad.key_at(C("_lo"), F.lit(digits + 1)))})
+    return d.drop("_clock", "_x", "_lo", "_hi", "_tb", "_ub", "_rb", "_sector")
 
 
 def local_to_mm(d: DataFrame, s: str, u: Column, t: Column, r: Column) -> DataFrame:
@@ -355,7 +350,7 @@ def skin_samples(levels: DataFrame, azimuths: int, us: list[float], rs: list[flo
     return d.withColumn("su", F.explode(arr(us))).withColumn("sr", F.explode(arr(rs))).drop("_k")
 
 
-def scan_folds(levels: DataFrame, geo: DataFrame, azimuths: int = 240, us=(0.02, 0.5, 0.98), rs=(0.5, 0.9, 1.0)) -> DataFrame:
+def scan_folds(levels: DataFrame, azimuths: int = 240, us=(0.02, 0.5, 0.98), rs=(0.5, 0.9, 1.0)) -> DataFrame:
     """Skin points whose own level is not the single claimant: counts per template and level, by kind."""
     g = skin_samples(levels, azimuths, list(us), list(rs))
     s = F.struct("pos", "label", "n0", "n1", "m0", "m1", "dir", "len", "ant", "lft", "radii")
@@ -364,7 +359,7 @@ def scan_folds(levels: DataFrame, geo: DataFrame, azimuths: int = 240, us=(0.02,
     # Sample x level rows in generated code; the claims of a sample are summed before any shuffle.
     flat = [C(n)[i].alias(f"{n}{i}") for n in ("n0", "n1", "m0", "m1") for i in range(3)]
     lv = levels.select("template_id", C("label").alias("other"), *flat)
-    j = g.join(lv, "template_id")
+    j = g.join(broadcast_if_small(lv, 32_000), "template_id")
     side = lambda n, m: _dot([c - C(f"{n}{i}") for i, c in enumerate(_point())], [C(f"{m}{i}") for i in range(3)])
     j = j.withColumn("_c", (side("n0", "m0") >= 0) & (side("n1", "m1") < 0))
     per = j.groupBy(*key).agg(F.count_if("_c").alias("n"), F.bool_or(C("_c") & (C("other") == C("label"))).alias("own"))
@@ -396,7 +391,7 @@ def audit_margins(levels: DataFrame, azimuths: int = 360) -> DataFrame:
     )
 
 
-def round_trip(samples: DataFrame, levels: DataFrame, geo: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+def round_trip(samples: DataFrame, levels: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """Local coordinates to millimetres and back: failures per level and the worst error of the good ones.
 
     samples: template_id, label, su, st, sr.
@@ -404,7 +399,7 @@ def round_trip(samples: DataFrame, levels: DataFrame, geo: DataFrame, tolerance:
     s = F.struct("pos", "label", "n0", "n1", "m0", "m1", "dir", "len", "ant", "lft", "radii").alias("_s")
     d = samples.join(levels.select("template_id", "label", s), ["template_id", "label"])
     d = local_to_mm(d, "_s", C("su"), C("st"), C("sr")).drop("_s")
-    e = encode_body(d, geo, 0)
+    e = encode_body(d, levels, 0)
     turn = F.abs(C("t") - C("st"))
     turn = F.least(turn, 1 - turn)
     # At the axis itself the azimuth means nothing.

@@ -69,13 +69,13 @@ enc AS (SELECT *, {T.LEVELS_SQL}[i + 1] AS level, 'BD-' || {T.LEVELS_SQL}[i + 1]
 @query(ctes(BODY) + "SELECT point_id, cell, clamped, false AS folded FROM enc")
 def encode_body_points(spark, sf):
     """Millimetre points to four-digit body cells in their own template."""
-    e = bd.encode_body(body_points(spark, sf), geometry(spark, sf), 4)
+    e = bd.encode_body(body_points(spark, sf), levels(spark, sf), 4)
     return e.select("point_id", text().alias("cell"), "clamped", "folded")
 
 
 @query(ctes(BODY) + f"SELECT point_id, CASE WHEN z > 0 OR -z >= {N} * h THEN '' ELSE level END AS claiming, CASE WHEN z > 0 OR -z >= {N} * h OR r0 > 1 THEN '' ELSE level END AS addressing FROM enc")
 def levels_of_points(spark, sf):
-    d = bd.levels_claiming(body_points(spark, sf), geometry(spark, sf))
+    d = bd.levels_claiming(body_points(spark, sf), levels(spark, sf))
     return d.select("point_id", F.array_join("claiming", ",").alias("claiming"), F.array_join("addressing", ",").alias("addressing"))
 
 
@@ -128,7 +128,7 @@ def coarsest_placeable(spark, sf):
 )
 def fold_scan(spark, sf):
     """A straight column never folds; every skin sample is claimed by its own level."""
-    return bd.scan_folds(levels(spark, sf), geometry(spark, sf))
+    return bd.scan_folds(levels(spark, sf))
 
 
 @query(
@@ -147,13 +147,13 @@ def samples(spark, sf):
 
 @query(f"SELECT event_id % 25 AS template_id, {T.LEVELS_SQL}[CAST(event_id % {N} + 1 AS INT)] AS label, count(*) AS samples, 0 AS failures FROM events GROUP BY ALL")
 def round_trips(spark, sf):
-    return bd.round_trip(samples(spark, sf), levels(spark, sf), geometry(spark, sf)).select("template_id", "label", "samples", "failures")
+    return bd.round_trip(samples(spark, sf), levels(spark, sf)).select("template_id", "label", "samples", "failures")
 
 
 @query("SELECT n_nationkey AS template_id, true AS preconditions, true AS audit, true AS probe, true AS folds, true AS accepted FROM nation WHERE n_nationkey IN (SELECT event_id % 25 FROM events)")
 def template_acceptance(spark, sf):
-    lv, geo = levels(spark, sf), geometry(spark, sf)
-    return bd.accept_templates(slabs(spark, sf), bd.scan_folds(lv, geo, 24), bd.audit_margins(lv, 72), bd.round_trip(samples(spark, sf), lv, geo))
+    lv = levels(spark, sf)
+    return bd.accept_templates(slabs(spark, sf), bd.scan_folds(lv, 24), bd.audit_margins(lv, 72), bd.round_trip(samples(spark, sf), lv))
 
 
 @query(
