@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from bodygrid.llm import exact, minhash, mixing, packing, quality, tokens
+from bodygrid.llm import exact, langid, minhash, mixing, packing, pii, quality, secrets, tokens, warc
 from bodygrid.llm.common import table
 
 PACKING_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -17,10 +17,26 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), trusted)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), PACKING_TOKENIZER)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -43,12 +59,20 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op5_best_fit_packing, op7_mixing, op8_exact_dedup, op9_token_counts, op10_near_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_personal_data, op4_secret_scan, op5_best_fit_packing, op6_warc, op7_mixing, op8_exact_dedup, op9_token_counts, op10_near_dedup, pipeline)}
 
 _SPACE = r"[\x20\x09-\x0D]+"
 _WORD = r"[^\x20\x09-\x0D]+"
 
 ORACLES = {
+    "op6_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+g AS (SELECT h, max(page_id) AS last FROM p WHERE strlen(h) >= 1000 GROUP BY h)
+SELECT page_id, CAST(strlen(p.h) AS BIGINT) AS payload_bytes, sha1(p.h) AS payload_digest,
+  CASE WHEN g.last IS NOT NULL AND page_id <> g.last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> g.last THEN g.last END AS refers_to, CAST(NULL AS VARCHAR) AS problem
+FROM p LEFT JOIN g ON p.h = g.h
+""",
     "op7_mixing": rf"""
 WITH d AS (SELECT doc_id, coalesce('+' || source, '-') AS k, source, CAST(coalesce(len(regexp_extract_all(text, '{_WORD}')), 0) AS BIGINT) AS size,
     CAST('0x' || substr(md5(concat_ws(':', CAST(doc_id AS VARCHAR), text)), 1, 15) AS BIGINT) AS h FROM documents),
