@@ -38,7 +38,7 @@ def ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col
 
     Every document counts as raw, the trusted ones as target too. Ids join as values: a null id is trusted nowhere.
     """
-    ids = trusted.select(F.col(trusted.columns[0]).alias("id")).distinct().withColumn("trusted", F.lit(1))
+    ids = trusted.select(F.col(trusted.columns[0]).alias("id")).distinct().withColumn("trusted", F.lit(1)).hint("merge")  # the same plan at every size
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left")
     src = once(src, {"w": words(F.col("text"))}).select("trusted", "w")
     got = src.select("trusted", F.explode(grams(F.col("w"), buckets)).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("trusted").alias("target"))
