@@ -5,16 +5,17 @@ the ranks of one shingle over all places are correlated; each place keeps its le
 earlier round than the next one, no later draw can win and the document is done: a few rounds instead of one per place.
 
 Documents of equal sets are one class. Classes that share a band meet: first each with the smallest of its bucket, which
-settles groups of copies with as many pairs as members; then, in buckets whose members are still apart, those outside the
-largest part with the members they are apart from. So a bucket's pairs are made only where they could join two components.
-Every pair is verified on the whole sets.
+settles groups of copies with as many pairs as members; then, in buckets whose members are still apart, each with another
+center; last, in buckets still apart, those outside the largest part with the members they are apart from. So a bucket's pairs
+are made only where they could join two components, and only if sizes and sketches allow it. Every link is verified on the whole
+sets.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bodygrid.llm.common import stored
@@ -22,6 +23,13 @@ from bodygrid.llm.graph import components
 
 PLACES = 192
 BANDS = 32
+#: Bits of each place that are kept to compare signatures. Pairs whose places differ in more than they would at the asked
+#: similarity, by this many standard deviations, aren't verified: 3 in a million pairs at the very threshold, far fewer than
+#: no band finds.
+SKETCH_BITS = 4
+#: Places of the finer sketch of documents that are still apart from others of their buckets.
+FINE_PLACES = 1024
+DEVIATIONS = 4.5
 #: Shingles that are signed together; bounds memory and spares calls for short documents.
 TOGETHER = 16384
 #: Words whose hashes a process remembers before it starts afresh.
@@ -125,8 +133,29 @@ def _band_keys(best: np.ndarray, bands: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _planes(best: np.ndarray) -> np.ndarray:
+    """The low bits of all places, bit by bit, as 64-bit words: SKETCH_BITS * places / 64 per document."""
+    planes = [np.packbits((best >> np.uint64(k) & np.uint64(1)).astype(np.uint8), axis=1) for k in range(SKETCH_BITS)]
+    return np.ascontiguousarray(np.concatenate(planes, axis=1)).view(np.int64)
+
+
+def _may_link(n1: str, n2: str, planes1: str, planes2: str, places: int, percent: int) -> Column:
+    """Whether sizes and sketches allow the similarity."""
+    words = places // 64
+    differ = []
+    for w in range(words):
+        bits = [F.col(planes1)[k * words + w].bitwiseXOR(F.col(planes2)[k * words + w]) for k in range(SKETCH_BITS)]
+        one = bits[0]
+        for x in bits[1:]:
+            one = one.bitwiseOR(x)
+        differ.append(F.bit_count(one))
+    m = (1 - percent / 100) * (1 - 2.0**-SKETCH_BITS)
+    most = int(places * m + DEVIATIONS * (places * m * (1 - m)) ** 0.5)
+    return (F.lit(100) * F.least(n1, n2) >= F.lit(percent) * F.greatest(n1, n2)) & (sum(differ[1:], differ[0]) <= most)
+
+
 def _signed(docs: DataFrame, width: int, places: int, bands: int) -> DataFrame:
-    """doc_id, n (set size), f1 and f2 (128 bits of the set), bands."""
+    """doc_id, n (set size), f1 and f2 (128 bits of the set), bands, planes."""
 
     def sign(batches):
         import xxhash
@@ -142,19 +171,21 @@ def _signed(docs: DataFrame, width: int, places: int, bands: int) -> DataFrame:
                     size += len(sets[-1])
                     at += 1
                 full = [s for s in sets if len(s)]
-                keys = iter(_band_keys(signatures(full, places), bands)) if full else iter(())
+                best = signatures(full, places) if full else np.empty((0, places), np.uint64)
+                keys, planes = iter(_band_keys(best, bands)), iter(_planes(best))
                 prints = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 two = np.frombuffer(b"".join(prints), "<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids[first:at], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(two[:, 0]), pa.array(two[:, 1]),
                         pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64())),
+                        pa.array([next(planes) if len(s) else None for s in sets], pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "n", "f1", "f2", "bands"],
+                    ["doc_id", "n", "f1", "f2", "bands", "planes"],
                 )
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return src.mapInArrow(sign, "doc_id bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>")
+    return src.mapInArrow(sign, "doc_id bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>, planes array<bigint>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -171,6 +202,19 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(hashed, "c bigint, f1 bigint, f2 bigint, items binary")
 
 
+def _fine(sets: DataFrame) -> DataFrame:
+    """(c, planes) of FINE_PLACES places."""
+
+    def sign(batches):
+        for b in batches:
+            for k in range(0, b.num_rows, 32):
+                part = b.slice(k, 32)
+                best = signatures([np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(1)], FINE_PLACES)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(_planes(best)), pa.list_(pa.int64()))], ["c", "planes"])
+
+    return sets.select("c", "items").mapInArrow(sign, "c bigint, planes array<bigint>")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose sets have 100 * intersection >= percent * union."""
     mine = sets.select(F.col("c").alias("a"), F.col("items").alias("left"))
@@ -193,6 +237,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(compare, "a bigint, b bigint")
 
 
+def _apart(met: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Components of the links, and (h, c, part, main) of the buckets (h, c) with members of more than one; ``main`` is the part
+    with most members in the bucket."""
+    parts = components(links)
+    labelled = stored(met.select("h", "c").join(parts.withColumnRenamed("v", "c"), "c", "left").select("h", "c", F.coalesce("root", "c").alias("part")))
+    of = labelled.groupBy("h", "part").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("k", "part")).alias("most"))
+    several = stored(of.filter("parts > 1").select("h", F.col("most.part").alias("main")))
+    return parts, stored(labelled.join(several, "h"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, places: int = PLACES, bands: int = BANDS) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable over links), kept (doc_id = component_id).
 
@@ -204,30 +258,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = stored(_signed(src, width, places, bands))
     usable = signed.filter("doc_id is not null and n > 0")
     classes = stored(usable.groupBy("f1", "f2").agg(F.min("doc_id").alias("c"), F.max("n").alias("n")))
-    first = usable.select("doc_id", "f1", "f2", "bands").join(classes, ["f1", "f2"]).filter("doc_id = c")
-    banded = stored(first.select("c", "n", F.explode("bands").alias("h")))
-    shared = banded.groupBy("h").agg(F.min("c").alias("center"), F.max("c").alias("last")).filter("center < last")
-    met = stored(banded.join(shared.select("h", "center"), "h"))
-    sizes = met.select("c", "n").distinct()
-    near = F.lit(100) * F.least("n", "n2") >= F.lit(percent) * F.greatest("n", "n2")  # sets of more unlike sizes can't be linked
-    star = met.filter("c <> center").select(F.col("center").alias("a"), F.col("c").alias("b"), "n").distinct()
-    star = star.join(sizes.select(F.col("c").alias("a"), F.col("n").alias("n2")), "a").filter(near).select("a", "b")
-    wanted = sizes.select(F.col("c").alias("doc_id"))
+    first = stored(usable.select("doc_id", "f1", "f2", "bands", "planes").join(classes, ["f1", "f2"]).filter("doc_id = c").select("c", "n", "bands", "planes"))
+    sketch = first.select("c", "n", "planes")
+    banded = first.select("c", F.explode("bands").alias("h"))
+    shared = banded.groupBy("h").agg(F.min("c").alias("first"), F.max("c").alias("last")).filter("first < last").select("h", "first")
+    met = stored(banded.join(shared, "h"))
+    wanted = met.select(F.col("c").alias("doc_id")).distinct()
     sets = _sets(src.join(wanted, "doc_id", "left_semi"), width).join(classes.select("c", "f1", "f2"), ["c", "f1", "f2"], "left_semi").dropDuplicates(["c", "f1", "f2"]).select("c", "items")
     sets = stored(sets)
-    links = stored(_verified(star, sets, percent))
-    parts = components(links)
-    labelled = met.select("h", "c", "n").join(parts.withColumnRenamed("v", "c"), "c", "left").select("h", "c", "n", F.coalesce("root", "c").alias("part"))
-    labelled = stored(labelled)
-    by_part = labelled.groupBy("h", "part").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("k", "part")).alias("most"))
-    apart = stored(by_part.filter("parts > 1").select("h", F.col("most.part").alias("main")))
-    mixed = stored(labelled.join(apart, "h"))
-    outside = mixed.filter("part <> main").select("h", F.col("c").alias("c1"), F.col("part").alias("part1"), F.col("n").alias("n1"))
-    cross = outside.join(mixed.select("h", F.col("c").alias("c2"), F.col("part").alias("part2"), F.col("n").alias("n2")), "h")
-    cross = cross.filter((F.col("part1") != F.col("part2")) & (F.lit(100) * F.least("n1", "n2") >= F.lit(percent) * F.greatest("n1", "n2")))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) that are links; pairs that sizes or sketches rule out are not compared."""
+        one = sketch.select(F.col("c").alias("a"), F.col("n").alias("n1"), F.col("planes").alias("p1"))
+        two = sketch.select(F.col("c").alias("b"), F.col("n").alias("n2"), F.col("planes").alias("p2"))
+        likely = pairs.join(one, "a").join(two, "b").filter(_may_link("n1", "n2", "p1", "p2", places, percent)).select("a", "b").distinct()
+        return stored(_verified(likely, sets, percent))
+
+    pair = (F.least("c", "center").alias("a"), F.greatest("c", "center").alias("b"))
+    links = verified(met.filter("c <> first").select("c", F.col("first").alias("center")).select(*pair).distinct())
+    parts, mixed = _apart(met, links)
+    # once more with another center for each bucket: large groups without one common center come together here
+    draw = F.xxhash64("h", "c")
+    centers = mixed.groupBy("h").agg(F.min(draw).alias("d"))
+    centers = mixed.join(centers, "h").filter(draw == F.col("d")).select("h", F.col("c").alias("center"), F.col("part").alias("part2")).distinct()
+    again = mixed.join(stored(centers), "h").filter("part <> part2").select(*pair).distinct()
+    links = stored(links.unionByName(verified(again)))
+    parts, mixed = _apart(mixed.select("h", "c"), links)
+    # what is still apart: members outside the largest part of a bucket against all from which they are apart
+    fine = stored(_fine(sets.join(mixed.select("c").distinct(), "c", "left_semi")).distinct())
+    mixed = stored(mixed.join(first.select("c", "n", "planes", "bands"), "c").join(fine.withColumnRenamed("planes", "fine"), "c"))
+    side = lambda df, k: df.select("h", *[F.col(x).alias(f"{x}{k}") for x in ("c", "part", "n", "planes", "bands", "fine")])
+    cross = side(mixed.filter("part <> main"), 1).join(side(mixed, 2), "h")
+    once = F.array_min(F.array_intersect("bands1", "bands2")) == F.col("h")  # of the buckets that two share, one makes the pair
+    likely = _may_link("n1", "n2", "planes1", "planes2", places, percent) & _may_link("n1", "n2", "fine1", "fine2", FINE_PLACES, percent)
+    cross = cross.filter((F.col("part1") != F.col("part2")) & likely & once)
     cross = stored(cross.select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")).distinct())
-    more = stored(_verified(cross.join(star, ["a", "b"], "left_anti"), sets, percent))
-    parts = components(links.unionByName(more))
+    more = stored(_verified(cross, sets, percent))
+    if more.limit(1).count():
+        parts = components(links.unionByName(more))
     # a document's class, and the class's component
     whole = classes.join(parts.select(F.col("v").alias("c"), "root"), "c", "left").select("f1", "f2", F.coalesce("root", "c").alias("component"))
     found = signed.select("doc_id", "n", "f1", "f2").join(whole, ["f1", "f2"], "left")
