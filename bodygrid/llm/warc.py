@@ -14,6 +14,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import uuid
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -79,10 +80,24 @@ def page_records(page_id, url, payload: bytes, revisit_of, segment_bytes: int =
     return out
 
 
+def _plain(data: bytes, step: int = 8192) -> bytes:
+    """All members of a gzip file; read in steps, as what follows a member is copied at each end of one."""
+    out, at = [], 0
+    while at < len(data):
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            if at >= len(data):
+                raise ValueError("archive is cut short")
+            part = data[at : at + step]
+            out.append(member.decompress(part))
+            at += len(part) - len(member.unused_data)
+    return b"".join(out)
+
+
 def records(data: bytes):
     """(fields, block) of each record of an archive, plain or compressed record by record; names in lower case."""
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)  # all members
+        data = _plain(data)
     at = 0
     while at < len(data):
         end = data.index(CRLF + CRLF, at)
