@@ -60,6 +60,7 @@ def _unsplit(frac: Column, neg: Column, pos: Column) -> Column:
 
 def _spread(v: Column, step: int) -> Column:
     """Put each bit of a 12-bit number ``step`` places apart."""
+    # The usual shifts and masks of bit interleaving.
     masks = {
         3: [(16, 0xFF0000FF), (8, 0x00F00F00F00F), (4, 0x0C30C30C30C3), (2, 0x249249249249)],
         2: [(8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)],
@@ -71,6 +72,7 @@ def _spread(v: Column, step: int) -> Column:
 
 
 def _compact(v: Column, step: int) -> Column:
+    # The same masks, the other way.
     masks = {
         3: [(2, 0x0C30C30C30C3), (4, 0x00F00F00F00F), (8, 0x0000FF0000FF), (16, 0xFFF)],
         2: [(1, 0x33333333), (2, 0x0F0F0F0F), (4, 0x00FF00FF), (8, 0xFFFF)],
@@ -82,11 +84,17 @@ def _compact(v: Column, step: int) -> Column:
 
 
 def encode_brain(df: DataFrame, x: str, y: str, z: str, tpl: dict, digits: int | Column) -> DataFrame:
-    """Add ``cell_key``, ``clamped``, ``clamp_note`` and ``error_code``; a NaN point is refused, never clamped."""
+    """Add ``cell_key``, ``clamped``, ``clamp_note`` and ``error_code``.
+
+    A NaN point is refused (``nan_coordinate``), never clamped, and so is a digit count of
+    a column that the frame does not have (``bad_precision``).
+    """
     if isinstance(digits, int) and not 0 <= digits <= fr.MAX_DIGITS["BV"]:
         raise ValueError(f"digit count out of range: {digits}")
     p = [F.col(x).cast("double"), F.col(y).cast("double"), F.col(z).cast("double")]
     bad = F.isnan(p[0]) | F.isnan(p[1]) | F.isnan(p[2]) | p[0].isNull() | p[1].isNull() | p[2].isNull()
+    k = F.lit(digits) if isinstance(digits, int) else digits
+    deep = ~F.coalesce(k.between(0, fr.MAX_DIGITS["BV"]), F.lit(False))
     rel = [p[i] - tpl["ac"][i] for i in range(3)]
     d = once(
         df,
@@ -94,7 +102,7 @@ def encode_brain(df: DataFrame, x: str, y: str, z: str, tpl: dict, digits: int |
             "_lat": _dot(rel, tpl["left"]),
             "_ant": _dot(rel, tpl["anterior"]),
             "_sup": _dot(rel, tpl["superior"]),
-            "error_code": F.when(bad, "nan_coordinate"),
+            "error_code": F.when(bad, "nan_coordinate").when(deep, "bad_precision"),
         },
     )
     lat = F.col("_lat")
@@ -117,7 +125,6 @@ def encode_brain(df: DataFrame, x: str, y: str, z: str, tpl: dict, digits: int |
     d = once(d, {c: _spread(F.col(c), 3) for c in bits})
     morton = left(F.col("_ai"), 2).bitwiseOR(left(F.col("_bi"), 1)).bitwiseOR(F.col("_ci"))
     ok = F.col("error_code").isNull()
-    k = F.lit(digits) if isinstance(digits, int) else digits
     d = once(
         d,
         {
@@ -134,7 +141,7 @@ def encode_brain(df: DataFrame, x: str, y: str, z: str, tpl: dict, digits: int |
             ),
         },
     )
-    d = d.withColumn("cell_key", ad.key_at(F.col("_lo"), k))
+    d = d.withColumn("cell_key", F.when(ok, ad.key_at(F.col("_lo"), k)))
     return d.drop("_lat", "_ant", "_sup", "_a", "_b", "_c", "_ai", "_bi", "_ci", "_lo")
 
 
@@ -186,21 +193,26 @@ def locate_brain(df: DataFrame, key: str, tpl: dict) -> DataFrame:
 def recommended_digits(df: DataFrame, residual: Column, tpl: dict) -> DataFrame:
     """Deepest digit count each BV cell supports for a residual, and which ceiling binds.
 
-    Extents only shrink with depth, so the answer is the first failing digit; the
-    smallest extent at digit d is that of the cell's own path, padded with zeros.
+    Extents halve with every digit after the first, so the answer is the first failing
+    digit of the cell's own path, padded with zeros. Row-local.
     """
-    d = df.withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(fr.MAX_DIGITS["BV"]))))
-    d = d.withColumn("_k", ad.key_at(ad.key_lo(F.col("cell_key")), F.col("_d")))
-    d = locate_brain(d, "_k", tpl)
-    smallest = F.least("extent_lateral", "extent_ap", "extent_si")
-    fail = F.when(F.col("over_precise"), "template").when(smallest < residual, F.when(F.col("_d") == 0, "frame").otherwise("residual"))
-    keep = df.columns
-    first = F.min(F.when(fail.isNotNull(), F.struct("_d", fail.alias("why"))))
-    g = d.groupBy(*keep).agg(first.alias("_f"))
-    return g.select(
-        *keep,
-        F.coalesce(F.greatest(F.col("_f._d") - 1, F.lit(0)), F.lit(fr.MAX_DIGITS["BV"])).alias("digits"),
-        F.coalesce(F.col("_f.why"), F.lit("frame")).alias("limited_by"),
+    off = ad.key_lo(F.col("cell_key")) - F.lit(fr.BV_START)
+    first = F.call_function("shiftright", off % F.lit(fr.OCT12), F.lit(33))
+    bit = lambda n: first.bitwiseAND(F.lit(n).cast("long")) != 0
+    lat = F.when(off < fr.OCT12, tpl["ext_left"]).otherwise(tpl["ext_right"])
+    ap = 2 * F.when(bit(2), tpl["ext_anterior"]).otherwise(tpl["ext_posterior"])
+    si = 2 * F.when(bit(1), tpl["ext_superior"]).otherwise(tpl["ext_inferior"])
+    whole = F.least(lat, tpl["ext_anterior"] + tpl["ext_posterior"], tpl["ext_superior"] + tpl["ext_inferior"])
+    d = once(df, {"_whole": whole, "_halved": F.least(lat, ap, si), "_res": residual})
+    over = lambda n: F.lit(n) > tpl["max_useful_digits"]
+    short = lambda n: (F.col("_halved") / (1 << n) if n else F.col("_whole")) < F.col("_res")
+    fails = F.coalesce(*[F.when(over(n) | short(n), F.lit(n)) for n in range(fr.MAX_DIGITS["BV"] + 1)])
+    d = once(d, {"_f": fails})
+    why = F.when(F.col("_f") > tpl["max_useful_digits"], "template").when(F.col("_f") > 0, "residual").otherwise("frame")
+    return d.select(
+        *df.columns,
+        F.coalesce(F.greatest(F.col("_f") - 1, F.lit(0)), F.lit(fr.MAX_DIGITS["BV"])).alias("digits"),
+        why.alias("limited_by"),
     )
 
 

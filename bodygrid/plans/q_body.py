@@ -73,6 +73,27 @@ def encode_body_points(spark, sf):
     return e.select("point_id", text().alias("cell"), "clamped", "folded")
 
 
+def listed_points(spark, sf):
+    """A point per order line: lines of an order are equal rows, and every 26th order names a template nobody has."""
+    li = T.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("point_id"))
+    p = body_points(spark, sf).withColumn("template_id", F.col("point_id") % 26)
+    return li.join(p, "point_id")
+
+
+LISTED = BODY.replace("o_orderkey % 25 AS template_id", "o_orderkey % 26 AS template_id").replace("FROM orders)", "FROM orders JOIN lineitem ON l_orderkey = o_orderkey)")
+
+
+@query(
+    ctes(LISTED)
+    + """SELECT point_id, CASE WHEN template_id < 25 THEN cell END AS cell, CASE WHEN template_id < 25 THEN clamped END AS clamped,
+    CASE WHEN template_id = 25 THEN 'no_template' END AS error_code FROM enc"""
+)
+def encode_listed_points(spark, sf):
+    """Repeated points and unknown templates: every row comes back, with a cell or a reason."""
+    e = bd.encode_body(listed_points(spark, sf), levels(spark, sf), 4)
+    return e.select("point_id", text().alias("cell"), "clamped", "error_code")
+
+
 @query(ctes(BODY) + f"SELECT point_id, CASE WHEN z > 0 OR -z >= {N} * h THEN '' ELSE level END AS claiming, CASE WHEN z > 0 OR -z >= {N} * h OR r0 > 1 THEN '' ELSE level END AS addressing FROM enc")
 def levels_of_points(spark, sf):
     d = bd.levels_claiming(body_points(spark, sf), levels(spark, sf))

@@ -305,8 +305,7 @@ def safe_page_links(spark, sf):
 def owned_mappings(spark, sf):
     """Mappings of known findings with their paper."""
     f = findings(spark, sf).select("finding_id", "paper_id")
-    m = mappings(spark, sf).filter("not (kind = 'coordinates' and digits > 12)")  # refused by validation
-    return m.join(f, "finding_id")
+    return mappings(spark, sf).join(f, "finding_id")
 
 
 @stored("placed")
@@ -331,11 +330,10 @@ bu AS (SELECT mapping_id, x, least(1 - 1e-12::DOUBLE, greatest(0.0::DOUBLE, a0))
 placed AS (SELECT mapping_id, s.cell FROM mp JOIN nx s USING (structure_id) WHERE kind = 'region-level'
   UNION SELECT mapping_id, cell FROM mp WHERE kind = 'cells' UNION SELECT mapping_id, cell || '0' FROM mp WHERE kind = 'cells' AND ok % 59 <> 3 AND NOT (cell LIKE 'BR%' AND length(cell) >= 12)
   UNION SELECT mapping_id, 'BV-' || CASE WHEN -x >= 0 THEN 'L' ELSE 'R' END || '-' || array_to_string(list_transform(range(1, 5), lambda i: CAST(4 * (CAST(floor(a * (1 << i)) AS BIGINT) % 2) + 2 * (CAST(floor(b * (1 << i)) AS BIGINT) % 2) + CAST(floor(c * (1 << i)) AS BIGINT) % 2 AS VARCHAR)), '') FROM bu),
-rs AS (SELECT mp.*, st.structure_name, CASE WHEN kind = 'region-level' AND structure_name IS NULL THEN 'unknown-structure' WHEN kind = 'coordinates' AND frame = 'BD' THEN 'no-template' END AS why FROM mp LEFT JOIN structures st USING (structure_id)),
+rs AS (SELECT mp.*, st.structure_name, CASE WHEN kind = 'region-level' AND structure_name IS NULL THEN 'unknown-structure' WHEN kind = 'coordinates' AND frame = 'BD' THEN 'no-template' WHEN kind = 'coordinates' AND ok % 73 = 1 THEN 'bad-coordinates' END AS why FROM mp LEFT JOIN structures st USING (structure_id)),
 mc AS (SELECT p.mapping_id, p.cell, rs.finding_id, rs.paper_id, rs.kind = 'region-level' AS region FROM placed p JOIN rs USING (mapping_id) WHERE why IS NULL)"""
 NX = normalize_sql("structure_cells_raw", "structure_id", "nx")
-# Seventeen declared digits are refused by validation; resolution is asked about rows that pass it.
-BASE = ctes(LI, PC, PS, FINDINGS_SQL, MAPPINGS_SQL.replace("FROM mraw)", "FROM mraw WHERE NOT (rf NOT IN ('A', 'N') AND ok % 73 = 1))"), NX, PLACED)
+BASE = ctes(LI, PC, PS, FINDINGS_SQL, MAPPINGS_SQL, NX, PLACED)
 
 
 @query(

@@ -90,11 +90,11 @@ tr AS (SELECT term, 'not-in-representation' AS code, term || ' is not in rep-0 v
   UNION ALL SELECT term, 'not-in-representation', coalesce(why, '') FROM rst WHERE completeness = 'none'
   UNION ALL SELECT term, CASE WHEN held_targets IS NOT NULL THEN 'structure-held' ELSE 'representation-absent' END, CASE WHEN held_targets IS NOT NULL THEN held_targets || ': ' || because ELSE absent END
     FROM (SELECT DISTINCT term FROM rst JOIN tg USING (term) WHERE completeness <> 'none') LEFT JOIN hh USING (term) LEFT JOIN ab USING (term) WHERE term NOT IN (SELECT term FROM shp) AND (held_targets IS NOT NULL OR absent IS NOT NULL))"""
-BASE = ctes(T.LINEITEM_CELLS_SQL, qp.FINDINGS_SQL, qp.MAPPINGS_SQL.replace("FROM mraw)", "FROM mraw WHERE NOT (rf NOT IN ('A', 'N') AND ok % 73 = 1))"), LINK_SQL).rstrip() + TERMS
+BASE = ctes(T.LINEITEM_CELLS_SQL, qp.FINDINGS_SQL, qp.MAPPINGS_SQL, LINK_SQL).rstrip() + TERMS
 
 
 @query(
-    ctes(T.LINEITEM_CELLS_SQL, qp.FINDINGS_SQL, qp.MAPPINGS_SQL.replace("FROM mraw)", "FROM mraw WHERE NOT (rf NOT IN ('A', 'N') AND ok % 73 = 1))"), LINK_SQL)
+    ctes(T.LINEITEM_CELLS_SQL, qp.FINDINGS_SQL, qp.MAPPINGS_SQL, LINK_SQL)
     + """SELECT rule, row_id, '' AS message FROM (SELECT term AS row_id, unnest(list_filter([CASE WHEN k % 47 = 1 THEN 'no_label' END, CASE WHEN how = 'guess' THEN 'bad_how' END, CASE WHEN how = 'exact-term' AND completeness = 'overlaps' THEN 'exact_but_overlaps' END,
       CASE WHEN k % 41 = 5 AND k % 5 = 0 THEN 'none_and_targets_disagree' END, CASE WHEN (how = 'crosswalk' OR completeness = 'none') AND why IS NULL THEN 'no_reason' END], lambda x: x IS NOT NULL)) AS rule FROM en)
     UNION ALL SELECT 'unknown_representation', term, representation FROM tg WHERE representation = 'rep-9'
