@@ -3,12 +3,14 @@
 A text is the mean of the embeddings of its words' subwords (character n-grams with word ends, hashed into buckets), then a
 linear layer and a softmax. Training is stochastic gradient descent in numpy over a sample of at most ``per_language`` labelled
 documents per language: that is the documented bound of what the driver holds. A part of the sample is held back to set the
-temperature and the rejection threshold. Predicting is linear in the text, as a word's share is computed once per process.
+temperature and the rejection threshold. Subwords are hashed and counted by numpy over the whole text, in blocks of words, so
+predicting is linear in the text however many different words there are.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,17 +30,29 @@ EMBED_RATE = 50.0
 #: Share of the sample that sets temperature and threshold; precision of what is not rejected there.
 HELD_BACK = 0.25
 PRECISION = 0.99
-MEMORY = 300_000
+#: Words that are hashed together; bounds the memory of a long text.
+TOGETHER = 50_000
 
 
-def subwords(word: str) -> list[int]:
-    """Buckets of a word's n-grams, word ends marked."""
-    w = f"<{word}>"
-    return [zlib.crc32(w[i : i + n].encode("utf-8", "surrogatepass")) % BUCKETS for n in range(SHORTEST, LONGEST + 1) for i in range(max(1, len(w) - n + 1))]
+def _buckets(words: list[str]) -> Iterator[np.ndarray]:
+    """Buckets of the words' n-grams by length, word ends marked.
+
+    One mark stands between two words, as end and as start: an n-gram may begin or end with it, but not run over it.
+    """
+    codes = np.frombuffer(("\n" + "\n".join(words) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    mark = codes == 10
+    h, whole = codes, np.ones(len(codes), bool)
+    for n in range(2, LONGEST + 1):
+        h = h[:-1] * np.uint32(0x01000193) + codes[n - 1 :]
+        whole = whole[:-1] & ~mark[n - 2 : -1] if n > 2 else whole[:-1]
+        if n >= SHORTEST:
+            yield (((h ^ np.uint32(n)) * np.uint32(2654435769)) >> np.uint32(32 - BUCKETS.bit_length() + 1))[whole]
 
 
-def _words(text: str) -> list[str]:
-    return text.lower().split()
+def _blocks(text: str) -> Iterator[np.ndarray]:
+    words = text.lower().split()
+    for k in range(0, len(words), TOGETHER):
+        yield np.concatenate(list(_buckets(words[k : k + TOGETHER])))
 
 
 @dataclass
@@ -51,15 +65,12 @@ class Model:
 
 
 def _features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    memo: dict[str, list[int]] = {}
-    counts: dict[int, int] = {}
-    for w in _words(text):
-        if w not in memo:
-            memo[w] = subwords(w)
-        for b in memo[w]:
-            counts[b] = counts.get(b, 0) + 1
-    keys = np.fromiter(counts, np.int32, len(counts))
-    return keys, np.fromiter(counts.values(), np.float32, len(counts))
+    """Buckets of a text and how often each occurs."""
+    n = np.zeros(BUCKETS, np.int64)
+    for b in _blocks(text):
+        n += np.bincount(b, minlength=BUCKETS)
+    keys = np.flatnonzero(n)
+    return keys.astype(np.int32), n[keys].astype(np.float32)
 
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, np.ndarray, np.ndarray]]:
@@ -67,10 +78,10 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str,
 
     Whole texts are read. The rows of one language are at most ``2 * per_language``.
     """
-    counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, per_language / n))]) if counts else F.create_map()
+    sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, per_language / n))]) if sizes else F.create_map()
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    some = docs.filter(draw < share[F.col("lang")]) if counts else docs.limit(0)
+    some = docs.filter(draw < share[F.col("lang")]) if sizes else docs.limit(0)
 
     def count(batches):
         for b in batches:
@@ -135,35 +146,17 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-class Predictor:
-    def __init__(self, model: Model):
-        self.model = model
-        self.place: dict[str, int] = {}
-        self.rows = np.zeros((1024, len(model.languages) + 1))
-
-    def _add(self, word: str) -> int:
-        i = self.place[word] = len(self.place)
-        if i >= len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        b = subwords(word)
-        self.rows[i, :-1] = self.model.scores[b].sum(axis=0)
-        self.rows[i, -1] = len(b)
-        return i
-
-    def __call__(self, text: str | None) -> tuple[str, float, bool]:
-        """Language, its probability, and whether the prediction is rejected. Without a letter: und, 0, rejected."""
-        if not text or not any(map(str.isalpha, text)):
-            return "und", 0.0, True
-        if len(self.place) > MEMORY:
-            self.place.clear()
-        place = self.place
-        ids = [place[w] if w in place else self._add(w) for w in _words(text)]
-        total = np.zeros(self.rows.shape[1])
-        for k in range(0, len(ids), 65536):
-            total += self.rows[ids[k : k + 65536]].sum(axis=0)
-        p = _softmax((total[:-1] / total[-1] + self.model.bias) / self.model.temperature)
-        best = int(p.argmax())
-        return self.model.languages[best], float(p[best]), bool(p[best] < self.model.least)
+def say(model: Model, text: str | None) -> tuple[str, float, bool]:
+    """Language, its probability, and whether the prediction is rejected. Without a letter: und, 0, rejected."""
+    if not text or not any(map(str.isalpha, text)):
+        return "und", 0.0, True
+    total, n = np.zeros(len(model.languages)), 0
+    for b in _blocks(text):
+        total += np.ones(len(b), np.float32) @ model.scores.take(b, axis=0)
+        n += len(b)
+    p = _softmax((total / n + model.bias) / model.temperature)
+    best = int(p.argmax())
+    return model.languages[best], float(p[best]), bool(p[best] < model.least)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,9 +164,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by buckets and languages
 
     def run(batches):
-        say = Predictor(sent.value)
         for b in batches:
-            out = [say(t.as_py()) for t in b.column(1)]
+            out = [say(sent.value, t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()), pa.array([x[2] for x in out], pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
 
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
