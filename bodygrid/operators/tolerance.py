@@ -44,24 +44,8 @@ def size_classes(d: DataFrame) -> Column:
     return d.filter("placed").select(F.collect_set(own)).scalar()
 
 
-def tolerance_join(a: DataFrame, b: DataFrame, tolerance_mm: float, a_id: str = "id", b_id: str = "id") -> DataFrame:
-    """Pairs that may be the same place: separation of the two boxes at most ``tolerance_mm``.
-
-    Grids are per pair of size classes, so a coarse cell never inflates the grid of fine ones:
-    with edge = tolerance + both class radii, every partner is in the same or an
-    adjacent grid cell. Only the smaller b side is repeated over the 27 neighbours.
-    Both sides must be of one frame; cells a template cannot place match nothing.
-    """
-    if not tolerance_mm >= 0 or tolerance_mm == float("inf"):
-        raise ValueError("tolerance_mm must be a finite, non-negative number of millimetres")
-    left = _prepare(a, "a_", a_id, size_classes(b)).withColumn("b_cls", F.explode("_other")).drop("_other")
-    right = _prepare(b, "b_", b_id, size_classes(a)).withColumn("a_cls", F.explode("_other")).drop("_other")
-    edge = F.lit(float(tolerance_mm)) + F.pow(F.lit(2.0), C("a_cls")) + F.pow(F.lit(2.0), C("b_cls"))
-    shifts = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    for ax in "xyz":
-        left = left.withColumn(f"_g{ax}", F.floor(C(f"a_{ax}_mm") / edge))
-        right = right.withColumn("_sh", F.explode(shifts)).withColumn(f"_g{ax}", F.floor(C(f"b_{ax}_mm") / edge) + C("_sh")).drop("_sh")
-    j = left.join(right, ["a_cls", "b_cls", "_gx", "_gy", "_gz"])
+def measured(j: DataFrame, tolerance_mm: float) -> DataFrame:
+    """Pairs of prepared cells with ``gap_mm``, ``budget_mm``, ``separation_mm`` and ``same``."""
     dl = [C(f"a_{ax}_mm") - C(f"b_{ax}_mm") for ax in "xyz"]
     j = once(j, {"_dx": dl[0], "_dy": dl[1], "_dz": dl[2], "gap_mm": F.sqrt(_dot(dl, dl))})
     dl = [C("_dx"), C("_dy"), C("_dz")]
@@ -83,7 +67,28 @@ def tolerance_join(a: DataFrame, b: DataFrame, tolerance_mm: float, a_id: str =
         # Disjoint cells of one template share no point, however close their centres are.
         apart = (C("a_template_id") == C("b_template_id")) & ~(C("a_folded") | C("b_folded")) & ~ad.overlaps(C("a_cell_key"), C("b_cell_key"))
         same = same & ~apart
-    return j.filter(same).select("a_id", "b_id", "gap_mm", "budget_mm", "separation_mm")
+    return j.withColumn("same", same)
+
+
+def tolerance_join(a: DataFrame, b: DataFrame, tolerance_mm: float, a_id: str = "id", b_id: str = "id") -> DataFrame:
+    """Pairs that may be the same place: separation of the two boxes at most ``tolerance_mm``.
+
+    Grids are per pair of size classes, so a coarse cell never inflates the grid of fine ones:
+    with edge = tolerance + both class radii, every partner is in the same or an
+    adjacent grid cell. Only the smaller b side is repeated over the 27 neighbours.
+    Both sides must be of one frame; cells a template cannot place match nothing.
+    """
+    if not tolerance_mm >= 0 or tolerance_mm == float("inf"):
+        raise ValueError("tolerance_mm must be a finite, non-negative number of millimetres")
+    left = _prepare(a, "a_", a_id, size_classes(b)).withColumn("b_cls", F.explode("_other")).drop("_other")
+    right = _prepare(b, "b_", b_id, size_classes(a)).withColumn("a_cls", F.explode("_other")).drop("_other")
+    edge = F.lit(float(tolerance_mm)) + F.pow(F.lit(2.0), C("a_cls")) + F.pow(F.lit(2.0), C("b_cls"))
+    shifts = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    for ax in "xyz":
+        left = left.withColumn(f"_g{ax}", F.floor(C(f"a_{ax}_mm") / edge))
+        right = right.withColumn("_sh", F.explode(shifts)).withColumn(f"_g{ax}", F.floor(C(f"b_{ax}_mm") / edge) + C("_sh")).drop("_sh")
+    j = left.join(right, ["a_cls", "b_cls", "_gx", "_gy", "_gz"])
+    return measured(j, tolerance_mm).filter("same").select("a_id", "b_id", "gap_mm", "budget_mm", "separation_mm")
 
 
 def unplaced(a: DataFrame, id_: str = "id") -> DataFrame:
@@ -92,7 +97,9 @@ def unplaced(a: DataFrame, id_: str = "id") -> DataFrame:
 
 
 def coverings_same_place(a: DataFrame, b: DataFrame, pairs: DataFrame, tolerance_mm: float | None) -> DataFrame:
-    """Asked covering pairs: whether they are the same place, and the closest cells.
+    """Asked covering pairs: whether they are the same place, decided by their closest cells of one frame.
+
+    The closest pair is reported even where it is too far apart; NULL where nothing compares.
 
     a, b: covering_id plus located columns. ``tolerance_mm`` None compares exactly within
     one template (any shared cell). pairs: a, b.
@@ -103,13 +110,23 @@ def coverings_same_place(a: DataFrame, b: DataFrame, pairs: DataFrame, tolerance
         n = overlap_join(left, right, "ka", "kb", by=["a", "b"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
         d = pairs.join(n, ["a", "b"], "left")
         return d.select("a", "b", C("shared").isNotNull().alias("same"), F.lit("exact").alias("basis"), F.coalesce("shared", F.lit(0)).alias("shared"))
-    t = tolerance_join(
-        a.withColumn("id", F.struct("covering_id", "cell_key")), b.withColumn("id", F.struct("covering_id", "cell_key")), tolerance_mm
-    )
-    t = t.select(C("a_id.covering_id").alias("a"), C("b_id.covering_id").alias("b"), "gap_mm", "separation_mm")
-    best = t.join(pairs, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.min(F.struct("gap_mm", "separation_mm")).alias("m"), F.count(F.lit(1)).alias("close_pairs"))
+    if not tolerance_mm >= 0 or tolerance_mm == float("inf"):
+        raise ValueError("tolerance_mm must be a finite, non-negative number of millimetres")
+
+    def side(d: DataFrame, p: str) -> DataFrame:
+        lo = ad.key_lo(C("cell_key"))
+        frame = F.when(lo < ad.fr.BV_START, "BD").when(lo < ad.fr.BR_START, "BV").otherwise("BR")
+        return d.filter("placed").select(C("covering_id").alias(p), frame.alias("_frame"), F.struct(*[C(c).alias(f"{p}_{c}") for c in COLS]).alias(f"_{p}"))
+
+    asked = pairs.select("a", "b").distinct()
+    j = asked.join(side(a, "a"), "a").join(side(b, "b"), ["b", "_frame"])
+    gap = F.sqrt(_dot(*[[C(f"_a.a_{ax}_mm") - C(f"_b.b_{ax}_mm") for ax in "xyz"]] * 2))
+    # Only the closest pair is measured further; equal gaps go by cell.
+    order = F.struct(F.round(gap, 9).alias("g"), C("_a.a_cell_key").alias("ka"), C("_b.b_cell_key").alias("kb"))
+    best = j.groupBy("a", "b").agg(F.min_by(F.struct("_a", "_b"), order).alias("_m")).select("a", "b", "_m._a.*", "_m._b.*")
+    best = measured(best, tolerance_mm).select("a", "b", C("same").alias("_same"), "gap_mm", "separation_mm", "a_cell_key", "b_cell_key")
     d = pairs.join(best, ["a", "b"], "left")
-    return d.select("a", "b", C("m").isNotNull().alias("same"), F.lit("tolerance").alias("basis"), C("m.gap_mm").alias("gap_mm"), F.coalesce("close_pairs", F.lit(0)).alias("close_pairs"))
+    return d.select("a", "b", F.coalesce("_same", F.lit(False)).alias("same"), F.lit("tolerance").alias("basis"), "gap_mm", "separation_mm", "a_cell_key", "b_cell_key")
 
 
 def survival(pairs: DataFrame, digits: list[int]) -> DataFrame:
