@@ -3,7 +3,7 @@
 slabs: template_id, pos, label, origin, axial, anterior (arrays of 3), height_mm, radii (array).
 A template has at most 32 slabs (the grammar's levels), so a template's geometry is
 one small array; points meet it by a left join on template_id and everything after
-that is row-local, so no point is lost or merged.
+that is row-local or per point, so no point is lost or merged.
 """
 
 from __future__ import annotations
@@ -111,100 +111,92 @@ def _point():
     return [C("x"), C("y"), C("z")]
 
 
-def seen_from_levels(levels: Column) -> Column:
-    """The point x, y, z from each level of an array of ``geometry``: plane distances, axis distance, azimuth and depth.
-
-    A level's values are made in steps, one ``transform`` each, so that none is computed twice.
-    """
-    p = _point()
-
-    def planes(s):
-        rel = [p[i] - s["n0"][i] for i in range(3)]
-        return F.struct(
-            s.alias("s"), _arr(rel).alias("rel"), _dot(rel, _vec(s["m0"])).alias("a"), _dot([p[i] - s["n1"][i] for i in range(3)], _vec(s["m1"])).alias("b"),
-            _dot(rel, _vec(s["dir"])).alias("al"),
-        )
-
-    def axis(v):
-        s, rel = v["s"], v["rel"]
-        on = F.least(s["len"], F.greatest(F.lit(0.0), v["al"]))
-        off = _arr([rel[i] - s["dir"][i] * on for i in range(3)])
-        perp = _arr([rel[i] - s["dir"][i] * v["al"] for i in range(3)])
-        return F.struct(s.alias("s"), v["a"].alias("a"), v["b"].alias("b"), off.alias("off"), perp.alias("perp"))
-
-    def polar(v):
-        ca, sa = _dot(_vec(v["perp"]), _vec(v["s"]["ant"])), _dot(_vec(v["perp"]), _vec(v["s"]["lft"]))
-        return F.struct(v["s"].alias("s"), v["a"].alias("a"), v["b"].alias("b"), F.sqrt(_dot(_vec(v["off"]), _vec(v["off"]))).alias("d"), ca.alias("ca"), sa.alias("sa"))
-
-    def azimuth(v):
-        return F.struct(*[v[n].alias(n) for n in ("s", "a", "b", "d", "ca", "sa")], _turn(v["ca"], v["sa"]).alias("t"))
-
-    def depth(v):
-        surface = radius_at(v["s"]["radii"], v["t"])
-        r = F.when(surface > 0, F.sqrt(v["ca"] * v["ca"] + v["sa"] * v["sa"]) / surface).otherwise(0.0)
-        return F.struct(
-            v["d"].alias("d"), v["s"]["pos"].alias("pos"), v["s"]["label"].alias("label"), v["a"].alias("a"), v["b"].alias("b"), v["t"].alias("t"), r.alias("r"),
-            ((v["a"] >= 0) & (v["b"] < 0)).alias("claim"), ((v["a"] < 0) & (v["b"] >= 0)).alias("back"),
-        )
-
-    out = levels
-    for step in (planes, axis, polar, azimuth, depth):
-        out = F.transform(out, step)
-    return out
+def flat_levels(levels: DataFrame) -> DataFrame:
+    """Levels with their vectors as plain columns, so that the geometry runs in generated code."""
+    flat = [C(n)[i].alias(f"{n}{i}") for n in ("n0", "n1", "m0", "m1", "dir", "ant", "lft") for i in range(3)]
+    last = F.max("pos").over(Window.partitionBy("template_id"))
+    d = levels.select("template_id", C("pos").alias("_pos"), C("label").alias("_label"), C("len").alias("_len"), C("radii").alias("_radii"), *flat, last.alias("_last"))
+    # At most 32 short rows per template.
+    return broadcast_if_small(d, 32_000)
 
 
 def point_levels(points: DataFrame, levels: DataFrame) -> DataFrame:
-    """Every point with ``_v``, its view from each level of its template in order; NULL where the template is unknown.
+    """Every point with every level of its template: plane distances, axis distance, azimuth and depth.
 
-    A template is one row of at most 32 levels, so the points stay where they are while the templates are few.
+    A point of an unknown template stays, once and without a level.
     """
-    geo = broadcast_if_small(geometry(levels).withColumnRenamed("levels", "_levels"), 1_000)
-    j = points.join(geo, "template_id", "left")
-    return once(j, {"_v": seen_from_levels(C("_levels"))}).drop("_levels")
+    p = _point()
+    v = lambda n: [C(f"{n}{i}") for i in range(3)]
+    j = points.join(flat_levels(levels), "template_id", "left")
+    rel = [p[i] - C(f"n0{i}") for i in range(3)]
+    j = j.withColumn("_a", _dot(rel, v("m0"))).withColumn("_b", _dot([p[i] - C(f"n1{i}") for i in range(3)], v("m1"))).withColumn("_al", _dot(rel, v("dir")))
+    on = F.least(C("_len"), F.greatest(F.lit(0.0), C("_al")))
+    off = [rel[i] - C(f"dir{i}") * on for i in range(3)]
+    perp = [rel[i] - C(f"dir{i}") * C("_al") for i in range(3)]
+    j = once(j, {"_d": F.sqrt(_dot(off, off)), "_ca": _dot(perp, v("ant")), "_sa": _dot(perp, v("lft"))})
+    j = once(j, {"_t": _turn(C("_ca"), C("_sa"))})
+    surface = radius_at(C("_radii"), C("_t"))
+    j = once(j, {"_r": F.when(surface > 0, F.sqrt(C("_ca") * C("_ca") + C("_sa") * C("_sa")) / surface).otherwise(0.0)})
+    return j.withColumn("_claim", (C("_a") >= 0) & (C("_b") < 0)).withColumn("_back", (C("_a") < 0) & (C("_b") >= 0))
 
 
 def levels_claiming(points: DataFrame, levels: DataFrame) -> DataFrame:
-    """Per point: labels of the levels claiming it, and of those with an in-body address for it; NULL without a template."""
-    names = lambda cond: F.transform(F.filter("_v", cond), lambda v: v["label"])
-    return point_levels(points, levels).select(
-        *points.columns, names(lambda v: v["claim"]).alias("claiming"), names(lambda v: (v["claim"] | v["back"]) & (v["r"] <= 1)).alias("addressing")
+    """Labels of the levels claiming each point, and of those with an in-body address for it (at most 32 each)."""
+    j = point_levels(points, levels)
+    names = lambda cond: F.transform(F.array_sort(F.collect_set(F.when(cond, F.struct("_pos", "_label")))), lambda s: s["_label"])
+    g = j.groupBy(*points.columns).agg(
+        _copies().alias("_copies"), names(C("_claim")).alias("claiming"), names((C("_claim") | C("_back")) & (C("_r") <= 1)).alias("addressing")
     )
+    return _repeated(g).select(*points.columns, "claiming", "addressing")
+
+
+def _copies() -> Column:
+    """Equal rows among points that met their levels: each has one first level, or none at all."""
+    return F.count_if(F.coalesce("_pos", F.lit(0)) == 0)
+
+
+def _repeated(d: DataFrame) -> DataFrame:
+    return d.withColumn("_copy", F.explode(F.sequence(F.lit(1), C("_copies").cast("int"))))
 
 
 def encode_body(points: DataFrame, levels: DataFrame, digits: int) -> DataFrame:
     """Points to BD cells with clamp and fold flags. points: template_id, x, y, z and anything else.
 
-    Row-local: equal rows are kept as often as they occur. A point of an unknown template
-    has no cell and the error ``no_template``; a NaN or missing coordinate is refused too.
+    A point meets its template's levels as rows, which are reduced to one row per point
+    before any shuffle; equal input rows are kept as often as they occur. A point of an
+    unknown template has no cell and the error ``no_template``; a NaN or missing coordinate
+    is refused too.
     """
     keep = points.columns
-    count = lambda cond: F.size(F.filter("_v", cond))
-    least = lambda vs: F.array_min(vs)  # by axis distance, then position
-    d = once(
-        point_levels(points, levels),
-        {
-            "_nc": count(lambda v: v["claim"]),
-            "_nb": count(lambda v: v["back"]),
-            "_reach": count(lambda v: v["back"] & (v["r"] <= 1)),
-            "_best": least(F.filter("_v", lambda v: v["claim"])),
-            "_near": least(C("_v")),
-            "_first": F.get("_v", F.lit(0)),
-            "_end": F.element_at("_v", -1),
-        },
+    j = point_levels(points, levels)
+    own = F.struct(C("_pos").alias("pos"), C("_label").alias("label"), C("_a").alias("a"), C("_b").alias("b"), C("_t").alias("t"), C("_r").alias("r"), (C("_back") & (C("_r") <= 1)).alias("back"))
+    near = F.struct(C("_d").alias("d"), C("_pos").alias("p"), own.alias("s"))
+    g = j.groupBy(*keep).agg(
+        _copies().alias("_copies"),
+        F.max(C("_claim").cast("int")).alias("_any"),
+        F.count_if("_claim").alias("_nc"),
+        F.count_if("_back").alias("_nb"),
+        F.count_if(C("_back") & (C("_r") <= 1)).alias("_reach"),
+        F.min(F.when(C("_claim"), near)).alias("_best"),
+        F.min(near).alias("_near"),
+        F.max(F.when(C("_pos") == 0, own)).alias("_first"),
+        F.max(F.when(C("_pos") == C("_last"), own)).alias("_end"),
     )
-    case = F.when(C("_nc") > 0, "claimed").when(C("_first.a") < 0, "above").when(C("_end.b") >= 0, "below").otherwise("gap")
-    s = F.when(C("_case") == "claimed", C("_best")).when(C("_case") == "above", C("_first")).when(C("_case") == "below", C("_end")).otherwise(C("_near"))
-    d = once(once(d.drop("_v"), {"_case": case}), {"_s": s})
-    d = d.select(*keep, "_case", "_nc", "_nb", "_reach", *[C(f"_s.{x}").alias(f"_{x}") for x in ("label", "a", "b", "t", "r", "back")])
+    n = C("_copies")
+    case = F.when(C("_any") == 1, "claimed").when(C("_first.a") < 0, "above").when(C("_end.b") >= 0, "below").otherwise("gap")
+    g = g.withColumn("_case", case)
+    s = F.when(C("_case") == "claimed", C("_best.s")).when(C("_case") == "above", C("_first")).when(C("_case") == "below", C("_end")).otherwise(C("_near.s"))
+    g = g.select(*keep, "_case", (C("_nc") / n).alias("_nc"), (C("_nb") / n).alias("_nb"), (C("_reach") / n).alias("_reach"), n.alias("_copies"), s.alias("_s"))
+    names = ["pos", "label", "a", "b", "t", "r", "back"]
+    g = g.select(*[c for c in g.columns if c != "_s"], *[C(f"_s.{x}").alias(f"_{x}") for x in names])
     edge = F.lit(pt.NEAR_ONE)
     part = F.when(C("_a") - C("_b") != 0, C("_a") / (C("_a") - C("_b"))).otherwise(0.0)
     u = F.when(C("_case") == "claimed", part).when(C("_case") == "above", 0.0).when(C("_case") == "below", edge).otherwise(F.least(edge, F.greatest(F.lit(0.0), part)))
-    own_back = (C("_back") & (C("_r") <= 1)).cast("int")
-    rival = (C("_nc") > 1) | (C("_reach") - own_back > 0)
-    known = C("_label").isNotNull()
+    rival = (C("_nc") > 1) | (C("_reach") - C("_back").cast("int") > 0)
     bad = F.isnan("x") | F.isnan("y") | F.isnan("z") | C("x").isNull() | C("y").isNull() | C("z").isNull()
-    d = once(
-        d,
+    known = C("_label").isNotNull()
+    g = once(
+        g,
         {
             "folded": F.when(known, (C("_case") == "gap") | (((C("_nc") > 1) | (C("_nb") > 0)) & rival)),
             "clamped": F.when(known, (C("_case") != "claimed") | (C("_r") > 1)),
@@ -215,7 +207,8 @@ def encode_body(points: DataFrame, levels: DataFrame, digits: int) -> DataFrame:
             "error_code": F.when(~known, "no_template").when(bad, "nan_coordinate"),
         },
     )
-    return with_local_key(d, digits).select(*keep, "cell_key", "clamped", "folded", "level", "u", "t", "r", "error_code")
+    g = with_local_key(g, digits)
+    return _repeated(g).select(*keep, "cell_key", "clamped", "folded", "level", "u", "t", "r", "error_code")
 
 
 def with_local_key(d: DataFrame, digits: int) -> DataFrame:
