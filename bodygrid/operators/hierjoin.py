@@ -100,6 +100,19 @@ def overlap_join(
     return inside.unionByName(around)
 
 
+def rolled_join(cells: DataFrame, rolled: DataFrame, key: str, above_key: str, spread: Sequence[str] = (), *, salts: int = SALTS) -> DataFrame:
+    """``cells`` next to the sums a roll-up has for the same key.
+
+    A coarse key has a row for nearly every group of the roll-up: those rows are spread by the columns ``spread``.
+    """
+    if not spread:
+        return cells.join(rolled, cells[key] == rolled[above_key])
+    c = cells.withColumn("_salt", F.explode(_salted_build(F.col(key), salts))).withColumn("_at", F.col(key))
+    r = rolled.withColumn("_at", F.col(above_key))
+    r = r.withColumn("_salt", F.when(ad.key_rung(F.col(above_key)) <= COARSE_RUNG, F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(F.lit(0)).cast("int"))
+    return c.join(r, ["_at", "_salt"]).drop("_at", "_salt")
+
+
 def contained_semi(
     probe: DataFrame, covering: DataFrame, probe_key: str, covering_key: str, *, by: Sequence[str] = ()
 ) -> DataFrame:

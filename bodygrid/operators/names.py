@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from bodygrid.functions import address as ad
 from bodygrid.operators import coverings as cv
 from bodygrid.operators.checks import problem
-from bodygrid.operators.hierjoin import ancestor_join, overlap_join
+from bodygrid.operators.hierjoin import ancestor_join, rolled_join
 
 
 def index_problems(structures: DataFrame, raw_cells: DataFrame) -> DataFrame:
@@ -73,14 +73,40 @@ def write_index(index: DataFrame, path: str) -> None:
     )
 
 
-def overlaps_by_structure(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """Overlap width of every (query cell, structure) pair; queries are deduplicated first."""
-    q = queries.select("cell_key").distinct()
-    x = index.select("structure_id", F.col("cell_key").alias("_sk"))
-    pairs = overlap_join(q, x, "cell_key", "_sk", prune_left=True)
-    return pairs.groupBy("cell_key", "structure_id").agg(
-        F.sum(ad.key_width(F.col("finer_key"))).alias("overlap_width")
+def rollup(index: DataFrame, ids: list[str]) -> DataFrame:
+    """What each ``ids`` group holds strictly inside every cell above its own: (ids, above_key, inner_width, inner_units).
+
+    At most 14 rows per cell before the map-side sum. It depends on the index alone, so it is published with it; a coarse
+    query cell then meets one row per structure instead of all its cells.
+    """
+    up = index.select(*ids, "cell_key", F.explode(ad.ancestor_keys(F.col("cell_key"), False)).alias("above_key"))
+    return up.groupBy(*ids, "above_key").agg(
+        F.sum(ad.key_width(F.col("cell_key"))).alias("inner_width"), F.sum(cv.root_units(F.col("cell_key"))).alias("inner_units")
+    )
+
+
+def _measured(queries: DataFrame, index: DataFrame, rolled: DataFrame, ids: list[str], prune: bool = True) -> DataFrame:
+    """Columns of ``queries``, ``ids``, overlap_width and overlap_units; one row per query row and group that overlap.
+
+    The cells of a group are disjoint: a query cell lies inside one of them or holds some, never both, so no sum follows.
+    """
+    k = F.col("cell_key")
+    cols = [*queries.columns, *ids]
+    x = index.select(*ids, k.alias("_sk"))
+    inside = ancestor_join(queries, x, "cell_key", "_sk", prune=prune).select(
+        *cols, ad.key_width(k).alias("overlap_width"), cv.root_units(k).alias("overlap_units")
+    )
+    around = rolled_join(queries, rolled, "cell_key", "above_key", ids).select(
+        *cols, F.col("inner_width").alias("overlap_width"), F.col("inner_units").alias("overlap_units")
     )
+    return inside.unionByName(around)
+
+
+def overlaps_by_structure(queries: DataFrame, index: DataFrame, rolled: DataFrame | None = None) -> DataFrame:
+    """Overlap width of every (query cell, structure) pair; queries are deduplicated first. ``index`` is normalised."""
+    q = queries.select("cell_key").distinct()
+    rolled = rollup(index, ["structure_id"]) if rolled is None else rolled
+    return _measured(q, index, rolled, ["structure_id"]).select("cell_key", "structure_id", "overlap_width")
 
 
 def index_union(index: DataFrame) -> DataFrame:
@@ -88,19 +114,11 @@ def index_union(index: DataFrame) -> DataFrame:
     return cv.maximal_cells(index, [])
 
 
-def claimed_width(queries: DataFrame, union: DataFrame) -> DataFrame:
-    """Width of each query cell that at least one structure claims.
-
-    The union over structures is the index's maximal cells, computed once, so no
-    per-query interval merge is needed.
-    """
-    union = union.withColumnRenamed("cell_key", "_uk")
+def claimed_width(queries: DataFrame, union: DataFrame, rolled: DataFrame | None = None) -> DataFrame:
+    """Width of each query cell that at least one structure claims: a lookup in the union and its roll-up."""
     q = queries.select("cell_key").distinct()
-    return (
-        overlap_join(q, union, "cell_key", "_uk", prune_left=True)
-        .groupBy("cell_key")
-        .agg(F.sum(ad.key_width(F.col("finer_key"))).alias("claimed_width"))
-    )
+    rolled = rollup(union, []) if rolled is None else rolled
+    return _measured(q, union, rolled, []).select("cell_key", F.col("overlap_width").alias("claimed_width"))
 
 
 def _fraction_check(min_fraction: float) -> None:
@@ -123,6 +141,8 @@ def resolve(
     version: str,
     *,
     union: DataFrame | None = None,
+    rolled: DataFrame | None = None,
+    rolled_union: DataFrame | None = None,
     min_fraction: float = 0.0,
     limit: int | None = None,
 ) -> DataFrame:
@@ -130,17 +150,19 @@ def resolve(
 
     Filtering by ``min_fraction`` or ``limit`` drops matches, never their claim on
     the cell: ``unclaimed_fraction`` is the complement of the union of all matches.
-    A cell nothing overlaps keeps one row with a NULL structure and a note.
+    A cell nothing overlaps keeps one row with a NULL structure and a note. ``union``,
+    ``rolled`` and ``rolled_union`` are tables published with the index; those not
+    given are computed.
     """
     _fraction_check(min_fraction)
     union = index_union(index) if union is None else union
     width = ad.key_width(F.col("cell_key"))
-    per = overlaps_by_structure(queries, index).withColumn("fraction", F.col("overlap_width") / width)
+    per = overlaps_by_structure(queries, index, rolled).withColumn("fraction", F.col("overlap_width") / width)
     ranked = _rank(per.filter(F.col("fraction") >= min_fraction), "cell_key", limit)
     ranked = ranked.join(structures.select("structure_id", "structure_name"), "structure_id")
     q = queries.select("cell_key").distinct()
     return (
-        q.join(claimed_width(q, union), "cell_key", "left")
+        q.join(claimed_width(q, union, rolled_union), "cell_key", "left")
         .join(ranked, "cell_key", "left")
         .withColumn("claimed_width", F.coalesce("claimed_width", F.lit(0)))
         .withColumn("unclaimed_fraction", 1 - F.col("claimed_width") / width)
@@ -155,6 +177,8 @@ def resolve_coverings(
     index: DataFrame,
     *,
     union: DataFrame | None = None,
+    rolled: DataFrame | None = None,
+    rolled_union: DataFrame | None = None,
     min_fraction: float = 0.0,
     limit: int | None = None,
 ) -> DataFrame:
@@ -168,12 +192,12 @@ def resolve_coverings(
     units = lambda k: cv.root_units(F.col(k))
     total = coverings.groupBy(covering_id).agg(F.sum(units("cell_key")).alias("total_units"))
     c = coverings.select(covering_id, "cell_key")
-    pairs = overlap_join(c, index.select("structure_id", F.col("cell_key").alias("_sk")), "cell_key", "_sk")
-    per = pairs.groupBy(covering_id, "structure_id").agg(F.sum(units("finer_key")).alias("overlap_units"))
-    union = (index_union(index) if union is None else union).withColumnRenamed("cell_key", "_uk")
-    claimed = (
-        overlap_join(c, union, "cell_key", "_uk").groupBy(covering_id).agg(F.sum(units("finer_key")).alias("claimed_units"))
-    )
+    rolled = rollup(index, ["structure_id"]) if rolled is None else rolled
+    pairs = _measured(c, index, rolled, ["structure_id"], prune=False)
+    per = pairs.groupBy(covering_id, "structure_id").agg(F.sum("overlap_units").alias("overlap_units"))
+    union = index_union(index) if union is None else union
+    rolled_union = rollup(union, []) if rolled_union is None else rolled_union
+    claimed = _measured(c, union, rolled_union, [], prune=False).groupBy(covering_id).agg(F.sum("overlap_units").alias("claimed_units"))
     per = per.join(total, covering_id).withColumn("fraction", F.col("overlap_units") / F.col("total_units"))
     ranked = _rank(per.filter(F.col("fraction") >= min_fraction), covering_id, limit)
     return (
@@ -244,12 +268,14 @@ def names_at_precision(
     structures: DataFrame,
     version: str,
     union: DataFrame | None = None,
+    rolled: DataFrame | None = None,
+    rolled_union: DataFrame | None = None,
 ) -> DataFrame:
     """Demote each cell to the display template's precision, resolve, and flag frames the index lacks."""
     q = queries.withColumn("shown_cell", ad.demote(F.col("cell"), max_digits))
     q = ad.with_key(q, "shown_cell", "shown_key").withColumn("frame", ad.frame_of(F.col("cell")))
     q = q.withColumn("demoted", F.col("shown_cell") != F.col("cell"))
-    res = resolve(q.select(F.col("shown_key").alias("cell_key")), index, structures, version, union=union)
+    res = resolve(q.select(F.col("shown_key").alias("cell_key")), index, structures, version, union=union, rolled=rolled, rolled_union=rolled_union)
     frames = indexed_frames(index).withColumn("frame_indexed", F.lit(True))
     return (
         q.join(res.withColumnRenamed("cell_key", "shown_key"), "shown_key", "left")

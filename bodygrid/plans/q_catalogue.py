@@ -116,9 +116,16 @@ def sample_quotas(spark, sf):
     return ca.quotas(population(spark, sf).filter("not held"), 40, 2)
 
 
-@query()
+@query(
+    """WITH p AS (SELECT c_custkey AS id, c_mktsegment AS category, 'U' || c_custkey // 2 AS label FROM customer WHERE c_acctbal >= 0), n AS (SELECT category, count(*) AS n FROM p GROUP BY 1), s AS (SELECT *, (40 - 2 * (SELECT count(*) FROM n)) * n / (SELECT sum(n) FROM n) AS share FROM n),
+    b AS (SELECT *, 2 + floor(share) AS base, row_number() OVER (ORDER BY share - floor(share) DESC, category) AS r FROM s), q AS (SELECT category, least(base + CASE WHEN r <= 40 - (SELECT sum(base) FROM b) THEN 1 ELSE 0 END, n) AS quota FROM b),
+    u AS (SELECT category, label, count(*) AS m, label = 'U3' AS must, row_number() OVER (PARTITION BY category ORDER BY label <> 'U3', md5('7|' || category || '|' || label)) AS r FROM p GROUP BY category, label),
+    t AS (SELECT u.*, quota, coalesce((SELECT sum(m) FROM u x WHERE x.category = u.category AND x.r < u.r), 0) AS before FROM u JOIN q USING (category)), k AS (SELECT *, before + m > quota AND NOT must AND before >= 2 AS over FROM t WHERE before < quota OR must),
+    d AS (SELECT *, (SELECT sum(m) FROM k) AS total, sum(CASE WHEN over THEN m ELSE 0 END) OVER (ORDER BY quota DESC, category, r) AS dropped FROM k)
+    SELECT p.* FROM p JOIN d USING (category, label) WHERE NOT (over AND total - dropped >= 40)"""
+)
 def stratified_sample(spark, sf):
-    """Forty structures, whole units, at least two per category. Its order is a hash, so it is checked by its rules."""
+    """Forty structures, whole units, at least two per category, in the order of a hash."""
     return ca.draw_sample(population(spark, sf).filter("not held").drop("held"), 40, 2, ["U3"], 7)
 
 

@@ -45,6 +45,21 @@ def union_of(spark, sf):
     return nm.index_union(index_of(spark, sf))
 
 
+@stored("rolled")
+def rolled_of(spark, sf):
+    return nm.rollup(index_of(spark, sf), ["structure_id"])
+
+
+@stored("rolled_union")
+def rolled_union_of(spark, sf):
+    return nm.rollup(union_of(spark, sf), [])
+
+
+def published(spark, sf):
+    """What is published with the index for resolution."""
+    return {"union": union_of(spark, sf), "rolled": rolled_of(spark, sf), "rolled_union": rolled_union_of(spark, sf)}
+
+
 def text(key="cell_key"):
     return ad.cell_text(F.col(key))
 
@@ -56,13 +71,13 @@ def supplier_cells(spark, sf):
 
 # Normal form by definition, on text only: fill parents whose members' shares add
 # up to the whole, then drop everything below another member.
-def normalize_sql(src: str, ids: str, out: str) -> str:
+def normalize_sql(src: str, ids: str, out: str, how: str = "") -> str:
     j = " AND ".join(f"b.{i.strip()} = a.{i.strip()}" for i in ids.split(","))
-    return f"""{out}_m AS (SELECT DISTINCT {ids}, cell FROM {src}),
-{out}_d AS (SELECT a.* FROM {out}_m a WHERE NOT EXISTS (SELECT 1 FROM {out}_m b WHERE {j} AND b.cell <> a.cell AND starts_with(a.cell, b.cell))),
+    return f"""{out}_m AS {how}(SELECT DISTINCT {ids}, cell FROM {src}),
+{out}_d AS {how}(SELECT a.* FROM {out}_m a WHERE NOT EXISTS (SELECT 1 FROM {out}_m b WHERE {j} AND b.cell <> a.cell AND starts_with(a.cell, b.cell))),
 {out}_e AS (SELECT {ids}, {U('cell')} AS u, unnest(list_transform(range(CASE WHEN cell LIKE 'BV%' THEN 4 ELSE 6 END, length(cell)), lambda k: left(cell, k))) AS anc FROM {out}_d),
 {out}_f AS (SELECT {ids}, anc AS cell FROM {out}_e WHERE anc NOT LIKE '%-' AND NOT regexp_full_match(anc, 'BD-...-..?') GROUP BY {ids}, anc HAVING sum(u) = {U('anc')}),
-{out}_u AS (SELECT * FROM {out}_d UNION SELECT * FROM {out}_f),
+{out}_u AS {how}(SELECT * FROM {out}_d UNION SELECT * FROM {out}_f),
 {out} AS (SELECT a.* FROM {out}_u a WHERE NOT EXISTS (SELECT 1 FROM {out}_u b WHERE {j} AND b.cell <> a.cell AND starts_with(a.cell, b.cell)))"""
 
 
@@ -103,11 +118,12 @@ def covering_unions(spark, sf):
     )
 
 
-INTER = """ix AS (SELECT DISTINCT s.structure_id, n.covering_id, CASE WHEN length(s.cell) >= length(n.cell) THEN s.cell ELSE n.cell END AS cell
+# Materialised: the optimizer of DuckDB fails on its own cache of strings otherwise.
+INTER = """ix AS MATERIALIZED (SELECT DISTINCT s.structure_id, n.covering_id, CASE WHEN length(s.cell) >= length(n.cell) THEN s.cell ELSE n.cell END AS cell
   FROM structure_cells s JOIN nat n ON starts_with(s.cell, n.cell) OR starts_with(n.cell, s.cell))"""
 
 
-@query(ctes(LI, PC, NATION_SUP, INTER, normalize_sql("ix", "structure_id, covering_id", "xx")) + "SELECT structure_id, covering_id, cell FROM xx")
+@query(ctes(LI, PC, NATION_SUP.replace("nat AS (SELECT", "nat AS MATERIALIZED (SELECT DISTINCT"), INTER, normalize_sql("ix", "structure_id, covering_id", "xx", "MATERIALIZED ")) + "SELECT structure_id, covering_id, cell FROM xx")
 def covering_intersections(spark, sf):
     """Exact intersection of every structure with every nation's covering."""
     sup = T.table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
@@ -273,7 +289,7 @@ def _resolved(df):
 @query(ctes(LI, PC, PS, PROBE) + ", " + RESOLVED.format(where=""))
 def resolve_cells(spark, sf):
     """Flagship: which structures occupy each cell, in what fraction, and how much is unclaimed."""
-    r = nm.resolve(T.lineitem_cells(spark, sf), index_of(spark, sf), T.part_structures(spark, sf), T.INDEX_VERSION, union=union_of(spark, sf))
+    r = nm.resolve(T.lineitem_cells(spark, sf), index_of(spark, sf), T.part_structures(spark, sf), T.INDEX_VERSION, **published(spark, sf))
     return _resolved(r)
 
 
@@ -281,7 +297,7 @@ def resolve_cells(spark, sf):
 def resolve_top_three(spark, sf):
     """Top three names of each cell holding at least a tenth of it; dropped names keep their claim."""
     r = nm.resolve(
-        T.lineitem_cells(spark, sf), index_of(spark, sf), T.part_structures(spark, sf), T.INDEX_VERSION, union=union_of(spark, sf), min_fraction=0.1, limit=3
+        T.lineitem_cells(spark, sf), index_of(spark, sf), T.part_structures(spark, sf), T.INDEX_VERSION, **published(spark, sf), min_fraction=0.1, limit=3
     )
     return _resolved(r)
 
@@ -299,7 +315,7 @@ def resolve_top_three(spark, sf):
 def resolve_supplier_coverings(spark, sf):
     """Measure-weighted names of each supplier's covering."""
     c = cv.normalize(supplier_cells(spark, sf), ["covering_id"])
-    r = nm.resolve_coverings(c, "covering_id", index_of(spark, sf), union=union_of(spark, sf))
+    r = nm.resolve_coverings(c, "covering_id", index_of(spark, sf), **published(spark, sf))
     return r.select("covering_id", "structure_id", "rank", F.round("fraction", 9).alias("fraction"), F.round("unclaimed_fraction", 9).alias("unclaimed_fraction"))
 
 
