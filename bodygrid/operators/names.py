@@ -159,11 +159,11 @@ def resolve(
     width = ad.key_width(F.col("cell_key"))
     per = overlaps_by_structure(queries, index, rolled).withColumn("fraction", F.col("overlap_width") / width)
     ranked = _rank(per.filter(F.col("fraction") >= min_fraction), "cell_key", limit)
-    ranked = ranked.join(structures.select("structure_id", "structure_name"), "structure_id")
     q = queries.select("cell_key").distinct()
     return (
         q.join(claimed_width(q, union, rolled_union), "cell_key", "left")
         .join(ranked, "cell_key", "left")
+        .join(structures.select("structure_id", "structure_name"), "structure_id", "left")  # last: all before is by cell
         .withColumn("claimed_width", F.coalesce("claimed_width", F.lit(0)))
         .withColumn("unclaimed_fraction", 1 - F.col("claimed_width") / width)
         .withColumn("note", F.when(F.col("claimed_width") == 0, F.lit(f"no structure in name index {version} overlaps this cell")))
