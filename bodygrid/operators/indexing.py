@@ -2,46 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bodygrid.functions import points as pt
 from bodygrid.operators import coverings as cv
 from bodygrid.operators import mesh as ms
 from bodygrid.session import cut_lineage
 
 
-def index_from_solids(vertices: DataFrame, triangles: DataFrame, tpl: dict, digits: int, step: float, cell: float, min_span: float = 0.5, halvings: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(cells: mesh_id, cell_key; report per mesh) of every closed surface.
+def index_from_solids(
+    vertices: DataFrame, triangles: DataFrame, parts: DataFrame, encode: Callable[[DataFrame], DataFrame], step: float, cell: float, least_step: float = 1.0, min_span: float = 0.5
+) -> tuple[DataFrame, DataFrame]:
+    """(cells: solid_id, cell_key; report per solid) of solids made of closed surfaces.
 
-    Each solid's box is sampled on a lattice and the points inside are encoded. A solid
-    whose inside points span less than half of its box on some axis is sampled again
-    with the step halved, at most ``halvings`` times; a thinner one falls back to its
-    vertices. Clamped points are dropped and counted.
+    ``parts``: solid_id, mesh_id. ``encode`` adds ``cell_key`` and ``clamped`` to points. A solid is the union of its
+    parts: the points of one lattice through the origin that lie in a part's box are tested against that part alone. The
+    step is halved, down to ``least_step``, until a solid has a point. Points that span less than ``min_span`` of the
+    solid on an axis longer than two steps did not resolve it: such a solid, and one without a point, falls back to its
+    vertices. Clamped points are counted and have no cell. ``ambiguous`` counts points on which the rays disagree.
     """
-    box = vertices.groupBy("mesh_id").agg(*[f(ax).alias(f"{w}_{ax}") for ax in "xyz" for w, f in (("lo", F.min), ("hi", F.max))])
-    box = cut_lineage(box)
-    open_ = box
-    parts = []
-    for k in range(halvings + 1):
-        lat = ms.lattice(open_.withColumnRenamed("mesh_id", "box_id"), step / 2**k)
-        # Lattice points are only tested against their own solid.
-        p = lat.select(F.struct("box_id", "x", "y", "z").alias("point_id"), "x", "y", "z")
-        inside = ms.points_in_solids(p, vertices, triangles, cell).filter(F.col("point_id.box_id") == F.col("mesh_id"))
-        inside = cut_lineage(inside.select("mesh_id", F.col("point_id.x").alias("x"), F.col("point_id.y").alias("y"), F.col("point_id.z").alias("z")))
-        span = inside.groupBy("mesh_id").agg(*[(F.max(ax) - F.min(ax)).alias(f"s_{ax}") for ax in "xyz"]).join(box, "mesh_id")
-        wide = F.least(*[(F.col(f"s_{ax}") + step / 2**k) / F.greatest(F.col(f"hi_{ax}") - F.col(f"lo_{ax}"), F.lit(1e-9)) for ax in "xyz"])
-        good = cut_lineage(span.filter(wide >= min_span).select("mesh_id"))
-        parts.append(inside.join(good, "mesh_id", "left_semi").withColumn("basis", F.lit("solid")))
-        open_ = cut_lineage(open_.join(good, "mesh_id", "left_anti"))
+    axes = [(w, f, ax) for ax in "xyz" for w, f in (("lo", F.min), ("hi", F.max))]
+    box = vertices.groupBy("mesh_id").agg(*[f(ax).alias(f"{w}_{ax}") for w, f, ax in axes])
+    box = cut_lineage(parts.select("solid_id", "mesh_id").join(box, "mesh_id"))
+    open_, found, s = box, None, step
+    while s >= least_step:
+        lat = ms.lattice(open_.withColumn("box_id", F.struct("solid_id", "mesh_id")), s)
+        p = lat.select(F.struct("box_id.solid_id", "x", "y", "z").alias("point_id"), "box_id.mesh_id", "x", "y", "z")
+        hit = ms.points_in_solids(p, vertices, triangles.join(open_.select("mesh_id").distinct(), "mesh_id", "left_semi"), cell, own=True)
+        hit = hit.groupBy("point_id").agg(F.max("votes").alias("votes")).select("point_id.*", "votes", F.lit(s).alias("step"))
+        hit = cut_lineage(hit)
+        found = hit if found is None else found.unionByName(hit)
+        open_ = cut_lineage(open_.join(hit.select("solid_id").distinct(), "solid_id", "left_anti"))
         if open_.isEmpty():
             break
-    parts.append(vertices.join(open_.select("mesh_id"), "mesh_id", "left_semi").select("mesh_id", "x", "y", "z", F.lit("surface").alias("basis")))
-    pts = parts[0]
-    for p in parts[1:]:
-        pts = pts.unionByName(p)
-    e = pt.encode_brain(pts, "x", "y", "z", tpl, digits)
-    report = e.groupBy("mesh_id").agg(
-        F.min("basis").alias("basis"), F.count(F.lit(1)).alias("points"), F.count_if("clamped").alias("clamped"), F.avg((~F.col("clamped")).cast("double")).alias("in_frame_fraction")
+        s /= 2
+    whole = box.groupBy("solid_id").agg(*[f(f"{w}_{ax}").alias(f"{w}_{ax}") for w, f, ax in axes])
+    span = found.groupBy("solid_id", "step").agg(*[(F.max(ax) - F.min(ax)).alias(f"s_{ax}") for ax in "xyz"]).join(whole, "solid_id")
+    size = lambda ax: F.col(f"hi_{ax}") - F.col(f"lo_{ax}")
+    share = F.least(*[F.when(size(ax) > 2 * F.col("step"), F.col(f"s_{ax}") / size(ax)).otherwise(1.0) for ax in "xyz"])
+    good = cut_lineage(span.filter(share >= min_span).select("solid_id"))
+    solid = found.join(good, "solid_id", "left_semi").select("solid_id", "x", "y", "z", "step", (F.col("votes") < len(ms.RAYS)).alias("unsure"), F.lit("solid").alias("basis"))
+    rest = box.join(good, "solid_id", "left_anti").select("solid_id", "mesh_id")
+    surface = vertices.join(rest, "mesh_id").select("solid_id", "x", "y", "z", F.lit(None).cast("double").alias("step"), F.lit(False).alias("unsure"), F.lit("surface").alias("basis"))
+    e = encode(solid.unionByName(surface))
+    report = e.groupBy("solid_id").agg(
+        F.min("basis").alias("basis"), F.min("step").alias("step"), F.count(F.lit(1)).alias("points"), F.count_if("clamped").alias("clamped"),
+        F.count_if("unsure").alias("ambiguous"), F.avg((~F.col("clamped")).cast("double")).alias("in_frame_fraction"),
     )
-    return cv.normalize(e.filter("not clamped"), ["mesh_id"]), report
+    return cv.normalize(e.filter("not clamped"), ["solid_id"]), report

@@ -174,13 +174,15 @@ def split_by_label(vertices: DataFrame, labels: DataFrame, triangles: DataFrame)
 RAYS = [(0.0137, 0.0071), (-0.0093, 0.0211), (0.0173, -0.0157)]
 
 
-def points_in_solids(points: DataFrame, vertices: DataFrame, triangles: DataFrame, cell: float, rays=RAYS) -> DataFrame:
+def points_in_solids(points: DataFrame, vertices: DataFrame, triangles: DataFrame, cell: float, rays=RAYS, own: bool = False) -> DataFrame:
     """(point_id, mesh_id, votes) for every closed surface a majority of rays says contains the point.
 
     Each ray is sheared onto the x axis, so "may be hit" is an equi-join of grid
     squares in the sheared y/z plane; the exact triangle test follows. Hits at one
-    distance count once, so an edge crossed twice does not flip the parity.
+    distance count once, so an edge crossed twice does not flip the parity. ``own``: the
+    points have a ``mesh_id`` and are tested against that surface alone.
     """
+    by = ["mesh_id"] if own else []
     t = corners(vertices, triangles)
     parts = []
     for r, (s, u) in enumerate(rays):
@@ -188,8 +190,8 @@ def points_in_solids(points: DataFrame, vertices: DataFrame, triangles: DataFram
         ys, zs = [yz(p)[0] for p in "abc"], [yz(p)[1] for p in "abc"]
         rng = lambda v: F.sequence(F.floor(F.least(*v) / cell), F.floor(F.greatest(*v) / cell))
         g = t.withColumn("_gy", F.explode_outer(rng(ys))).withColumn("_gz", F.explode_outer(rng(zs)))
-        p = points.select("point_id", "x", "y", "z").withColumn("_gy", F.floor((C("y") - s * C("x")) / cell)).withColumn("_gz", F.floor((C("z") - u * C("x")) / cell))
-        h = p.join(g, ["_gy", "_gz"])
+        p = points.select("point_id", *by, "x", "y", "z").withColumn("_gy", F.floor((C("y") - s * C("x")) / cell)).withColumn("_gz", F.floor((C("z") - u * C("x")) / cell))
+        h = p.join(g, ["_gy", "_gz", *by])
         d = [F.lit(1.0), F.lit(s), F.lit(u)]
         e1, e2 = _sub(_v("b"), _v("a")), _sub(_v("c"), _v("a"))
         q = _cross(d, e2)
@@ -435,14 +437,17 @@ def trilinear(points: DataFrame, voxels: DataFrame) -> DataFrame:
     return j.groupBy("point_id", "volume_id").agg(F.sum(C("_w") * F.coalesce("value", F.lit(0.0))).alias("value"))
 
 
-def lattice(boxes: DataFrame, step: Column | float, phase: float = 0.5) -> DataFrame:
-    """Lattice points of each box with a fixed phase. boxes: box_id, lo_x .. hi_z."""
+def lattice(boxes: DataFrame, step: Column | float) -> DataFrame:
+    """Points of one lattice through the origin that lie in each box, bounds included. boxes: box_id, lo_x .. hi_z.
+
+    The phase does not depend on the box, so neighbours share their points.
+    """
     s = F.lit(float(step)) if isinstance(step, (int, float)) else step
     d = boxes
     for ax in "xyz":
-        n = F.floor((C(f"hi_{ax}") - C(f"lo_{ax}")) / s - phase).cast("int")
-        d = d.withColumn(f"_{ax}", F.explode(F.when(n >= 0, F.sequence(F.lit(0), n)).otherwise(F.array().cast("array<int>"))))
-    return d.select("box_id", *[(C(f"lo_{ax}") + (C(f"_{ax}") + phase) * s).alias(ax) for ax in "xyz"])
+        first, last = F.ceil(C(f"lo_{ax}") / s), F.floor(C(f"hi_{ax}") / s)
+        d = d.withColumn(f"_{ax}", F.explode(F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))))
+    return d.select("box_id", *[(C(f"_{ax}") * s).alias(ax) for ax in "xyz"])
 
 
 # ---- fits ------------------------------------------------------------------------------

@@ -322,7 +322,11 @@ def sampled_volumes(spark, sf):
     return ms.trilinear(p, voxels(spark, sf)).select("point_id", F.round("value", 6).alias("value"))
 
 
-@query("WITH " + BOXES + " SELECT mesh_id AS box_id, CAST((floor(sx / 2 - 0.5) + 1) * (floor(sy / 2 - 0.5) + 1) * (floor(sz / 2 - 0.5) + 1) AS BIGINT) AS n, x0 + 1 AS first_x, z0 + (floor(sz / 2 - 0.5) + 0.5) * 2 AS last_z FROM box")
+@query(
+    "WITH " + BOXES
+    + """ SELECT mesh_id AS box_id, CAST((floor((x0 + sx) / 2) - ceil(x0 / 2) + 1) * (floor((y0 + sy) / 2) - ceil(y0 / 2) + 1) * (floor((z0 + sz) / 2) - ceil(z0 / 2) + 1) AS BIGINT) AS n,
+      ceil(x0 / 2) * 2 AS first_x, floor((z0 + sz) / 2) * 2 AS last_z FROM box"""
+)
 def lattice_points(spark, sf):
     b = boxes(spark, sf).select(F.col("mesh_id").alias("box_id"), F.col("x0").alias("lo_x"), (F.col("x0") + F.col("sx")).alias("hi_x"), F.col("y0").alias("lo_y"), (F.col("y0") + F.col("sy")).alias("hi_y"), F.col("z0").alias("lo_z"), (F.col("z0") + F.col("sz")).alias("hi_z"))
     return ms.lattice(b, 2.0).groupBy("box_id").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("first_x"), F.max("z").alias("last_z"))
