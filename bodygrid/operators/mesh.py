@@ -467,18 +467,21 @@ def _group_sums(pairs: DataFrame, group: str) -> DataFrame:
     return pairs.groupBy(group).agg(*[e.alias(n) for n, e in cols.items()])
 
 
-def _normal(r):
+def _normal(sums):
+    """Stacked 4x4 normal matrices and 4x3 right sides of a frame of sums."""
     import numpy as np
 
-    m = np.array(
-        [
-            [r["s_xx"], r["s_xy"], r["s_xz"], r["s_x"]],
-            [r["s_xy"], r["s_yy"], r["s_yz"], r["s_y"]],
-            [r["s_xz"], r["s_yz"], r["s_zz"], r["s_z"]],
-            [r["s_x"], r["s_y"], r["s_z"], r["n"]],
-        ]
-    )
-    t = np.array([[r[f"s_{a}_{t}"] for t in ("tx", "ty", "tz")] for a in "xyz"] + [[r["s_tx"], r["s_ty"], r["s_tz"]]])
+    m = np.empty((len(sums), 4, 4))
+    t = np.empty((len(sums), 4, 3))
+    for i, a in enumerate("xyz"):
+        for j, b in enumerate("xyz"):
+            m[:, i, j] = sums[f"s_{min(a, b)}{max(a, b)}"]
+        m[:, i, 3] = m[:, 3, i] = sums[f"s_{a}"]
+        for k, d in enumerate(("tx", "ty", "tz")):
+            t[:, i, k] = sums[f"s_{a}_{d}"]
+    m[:, 3, 3] = sums["n"]
+    for k, d in enumerate(("tx", "ty", "tz")):
+        t[:, 3, k] = sums[f"s_{d}"]
     return m, t
 
 
@@ -488,51 +491,50 @@ def fit_affine(pairs: DataFrame, group: str) -> DataFrame:
     The points are reduced to normal-equation sums by map-side aggregation; only one
     row of sums per group reaches the 4x4 solve.
     """
-    names = [f"m{i}{j}" for i in range(3) for j in range(4)]
+    return _solved(pairs, group).select(group, *AFFINE)
+
+
+AFFINE = [f"m{i}{j}" for i in range(3) for j in range(4)]
+INVERSE = [f"v{i}{j}" for i in range(4) for j in range(4)]
+
+
+def _solved(pairs: DataFrame, group: str) -> DataFrame:
+    """Coefficients m00..m23 and the (pseudo)inverse v00..v33 of the normal matrix, one row per group."""
     sums = _group_sums(pairs, group)
-    schema = f"{group} {dict(sums.dtypes)[group]}, " + ", ".join(f"{n} double" for n in names)
+    schema = f"{group} {dict(sums.dtypes)[group]}, " + ", ".join(f"{n} double" for n in AFFINE + INVERSE)
 
     def solve(batches):
         import numpy as np
 
         for pdf in batches:
-            rows = []
-            for _, r in pdf.iterrows():
-                m, t = _normal(r)
-                s = np.linalg.lstsq(m, t, rcond=None)[0]
-                rows.append([r[group], *s.T.reshape(-1)])
-            yield pd.DataFrame(rows, columns=[group, *names])
+            m, t = _normal(pdf)
+            v = np.linalg.pinv(m, rcond=1e-13, hermitian=True)
+            c = np.swapaxes(v @ t, 1, 2).reshape(len(pdf), -1)
+            out = pd.DataFrame(np.hstack([c, v.reshape(len(pdf), -1)]), columns=AFFINE + INVERSE)
+            out.insert(0, group, pdf[group].to_numpy())
+            yield out
 
     return sums.mapInPandas(solve, schema)
 
 
-def affine_residuals(pairs: DataFrame, fit: DataFrame, group: str) -> DataFrame:
+def affine_residuals(pairs: DataFrame, fit: DataFrame, group: str, keep: list[str] | None = None) -> DataFrame:
     """Residual of every pair under its group's affine, in target units."""
     j = pairs.join(fit, group)
     r = [C(f"m{i}0") * C("x") + C(f"m{i}1") * C("y") + C(f"m{i}2") * C("z") + C(f"m{i}3") - C(t) for i, t in enumerate(("tx", "ty", "tz"))]
-    return j.select(*pairs.columns, F.sqrt(_dot(r, r)).alias("residual"))
+    return j.select(*pairs.columns, *(keep or []), F.sqrt(_dot(r, r)).alias("residual"))
 
 
 def leave_one_out(pairs: DataFrame, group: str) -> DataFrame:
-    """Leave-one-out residuals: each row's own terms are taken off its group's sums, then solved."""
-    sums = _group_sums(pairs, group)
-    schema = ", ".join(f"{n} {t}" for n, t in pairs.dtypes) + ", loo_residual double"
-    keep = pairs.columns
+    """Residual of every pair under the affine of the other pairs of its group, as ``loo_residual``.
 
-    def solve(batches):
-        import numpy as np
-
-        for pdf in batches:
-            out = []
-            for _, r in pdf.iterrows():
-                m, t = _normal(r)
-                s = np.array([r["x"], r["y"], r["z"], 1.0])
-                g = np.array([r["tx"], r["ty"], r["tz"]])
-                c = np.linalg.lstsq(m - np.outer(s, s), t - np.outer(s, g), rcond=None)[0]
-                out.append([*[r[k] for k in keep], float(np.linalg.norm(s @ c - g))])
-            yield pd.DataFrame(out, columns=[*keep, "loo_residual"])
-
-    return pairs.join(sums, group).mapInPandas(solve, schema)
+    One solve per group: a pair's leverage h = s'(M^-1)s turns its residual r into r / (1 - h). NULL for a pair of
+    leverage 1, which the others say nothing about.
+    """
+    j = affine_residuals(pairs, _solved(pairs, group), group, keep=INVERSE)
+    at = [C("x"), C("y"), C("z"), F.lit(1.0)]
+    h = sum((at[i] * C(f"v{i}{k}") * at[k] for i in range(4) for k in range(4)), F.lit(0.0))
+    j = once(j, {"_rest": 1 - h})
+    return j.select(*pairs.columns, F.when(C("_rest") > 1e-9, C("residual") / C("_rest")).alias("loo_residual"))
 
 
 def fit_similarity(pairs: DataFrame, group: str) -> DataFrame:

@@ -106,3 +106,27 @@ def test_row_local_functions_run_on_a_stream(spark):
     s = spark.readStream.schema("raw string, x double, y double, z double").parquet(f"{base}/in")
     run_available(s, lambda d: pt.encode_brain(ad.canonicalize(d, "raw"), "x", "y", "z", pt.literal_template(pt.ICBM152), 3), f"{base}/out", f"{base}/cp")
     assert spark.read.parquet(f"{base}/out").first()["cell"] == "BV-L-47"
+
+
+def test_leave_one_out_equals_refitting(spark):
+    import numpy as np
+
+    from bodygrid.operators import mesh as ms
+
+    rng = np.random.default_rng(3)
+    rows = [(int(i), int(i % 2), *map(float, rng.normal(size=3)), *map(float, rng.normal(size=3))) for i in range(24)] + [(99, 7, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0)]
+    p = spark.createDataFrame(rows, "id int, g int, x double, y double, z double, tx double, ty double, tz double")
+    got = {r["id"]: r["loo_residual"] for r in ms.leave_one_out(p, "g").collect()}
+    assert got.pop(99) is None
+    for r in rows[:-1]:
+        rest = np.array([o[2:] for o in rows[:-1] if o[1] == r[1] and o[0] != r[0]])
+        c = np.linalg.lstsq(np.c_[rest[:, :3], np.ones(len(rest))], rest[:, 3:], rcond=None)[0]
+        assert abs(got[r[0]] - np.linalg.norm(np.array([*r[2:5], 1.0]) @ c - np.array(r[5:]))) < 1e-8
+
+
+def test_neighbouring_boxes_share_a_lattice(spark):
+    from bodygrid.operators import mesh as ms
+
+    b = spark.createDataFrame([("a", 0.0, 3.9), ("b", 4.3, 8.3), ("thin", 4.1, 5.9)], "box_id string, lo_x double, hi_x double")
+    b = b.selectExpr("*", "0D AS lo_y", "0D AS hi_y", "-1D AS lo_z", "1D AS hi_z")
+    assert sorted((r["box_id"], r["x"], r["z"]) for r in ms.lattice(b, 2.0).collect()) == [("a", 0.0, 0.0), ("a", 2.0, 0.0), ("b", 6.0, 0.0), ("b", 8.0, 0.0)]
