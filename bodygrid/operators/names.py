@@ -63,14 +63,14 @@ def build_index(raw_cells: DataFrame) -> DataFrame:
 
 def write_index(index: DataFrame, path: str) -> None:
     """Store an index so that constant-cell scans skip files: sorted by cell within each version."""
-    (
-        index.withColumn("cell", ad.cell_text(F.col("cell_key")))
-        .repartitionByRange("index_version", "cell")
-        .sortWithinPartitions("index_version", "cell")
-        .write.mode("overwrite")
-        .partitionBy("index_version")
-        .parquet(path)
-    )
+    write_cells(index.withColumn("cell", ad.cell_text(F.col("cell_key"))), path, ["index_version"])
+
+
+def write_cells(df: DataFrame, path: str, by: list[str] | None = None) -> None:
+    """Store rows in the order of ``cell``: a scan of a range of cells then reads few files and row groups."""
+    by = by or []
+    out = df.repartitionByRange(*by, "cell").sortWithinPartitions(*by, "cell").write.mode("overwrite")
+    (out.partitionBy(*by) if by else out).parquet(path)
 
 
 def rollup(index: DataFrame, ids: list[str]) -> DataFrame:
@@ -223,16 +223,26 @@ def containing_structures(queries: DataFrame, index: DataFrame) -> DataFrame:
     return hits.groupBy("cell_key", "structure_id").agg(F.min(ad.key_rung(F.col("_sk"))).alias("rung"))
 
 
-def find_structures(structures: DataFrame, needles: DataFrame, limit: int = 20) -> DataFrame:
+def find_structures(structures: DataFrame, needles: DataFrame, limit: int = 20, gram: int = 3) -> DataFrame:
     """Case-insensitive substring of the name, or exact id, in index order.
 
-    ``needles`` is a table of search texts. Its size is the number of questions
-    asked, so this join is a nested loop over that side by nature.
+    A name that contains a needle contains its character grams too, so a needle meets only
+    the names that have its rarest gram; whole texts decide. A needle shorter than a gram
+    is its own key.
     """
     n = needles.select(F.lower(F.trim("needle")).alias("needle")).filter("needle <> ''").distinct()
-    hit = F.contains(F.lower("structure_name"), F.col("needle")) | (F.lower("structure_id") == F.col("needle"))
+    names = structures.select("structure_id", "pos", F.lower("structure_name").alias("_t"))
+    cut = lambda c, k: F.when(F.length(c) >= k, F.transform(F.sequence(F.lit(1), F.length(c) - k + 1), lambda i: F.substring(F.col(c), i, F.lit(k))))
+    own = F.coalesce(cut("needle", gram), F.array("needle"))
+    keys = n.select("needle", F.explode(F.array_distinct(own)).alias("_g"))
+    every = F.flatten(F.array(*[F.coalesce(cut("_t", k), F.array().cast("array<string>")) for k in range(1, gram + 1)]))
+    held = names.select("structure_id", F.explode(F.array_distinct(every)).alias("_g")).join(keys.select("_g").distinct(), "_g", "left_semi")
+    rare = keys.join(held.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")), "_g").groupBy("needle").agg(F.min_by("_g", F.struct("_n", "_g")).alias("_g"))
+    inside = rare.join(held, "_g").join(names, "structure_id").filter(F.contains("_t", F.col("needle"))).select("needle", "structure_id")
+    by_id = structures.join(n, F.lower("structure_id") == F.col("needle")).select("needle", "structure_id")
     w = Window.partitionBy("needle").orderBy("pos", "structure_id")
-    return structures.join(n, hit).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    hits = structures.join(inside.unionByName(by_id).distinct(), "structure_id")
+    return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 
 
 def search_structures(structures: DataFrame, query: str, limit: int | None = None) -> DataFrame:

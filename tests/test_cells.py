@@ -169,3 +169,37 @@ def test_rank_large_equals_row_number(spark):
     want = d.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("v"), "id")))
     assert got.select("g", "v", "id", "rank").exceptAll(want.select("g", "v", "id", F.col("rank").cast("long").alias("rank"))).count() == 0
     assert got.count() == 500
+
+
+def test_constant_scans_reach_the_stored_table(spark):
+    from bodygrid.plans import load
+
+    for name in ("descendant_scan", "ancestor_scan", "overlap_scan"):
+        plan = load().QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "PushedFilters: [" in plan and "PushedFilters: []" not in plan, name
+
+
+def test_find_structures_equals_containment(spark):
+    names = ["Left Hippocampus", "right amygdala", "a", "", "ab", "Lobe lobe", None]
+    s = spark.createDataFrame([(f"S:{i}", n, i) for i, n in enumerate(names)], "structure_id string, structure_name string, pos int")
+    needles = ["a", "AB", " lobe ", "hippo", "s:3", "zz", "", None, "obe l"]
+    got = {(r["needle"], r["structure_id"]) for r in nm.find_structures(s, spark.createDataFrame([(n,) for n in needles], "needle string")).collect()}
+    asked = {n.strip().lower() for n in needles if n and n.strip()}
+    want = {(n, f"S:{i}") for n in asked for i, t in enumerate(names) if (t is not None and n in t.lower()) or f"s:{i}" == n}
+    assert got == want
+
+
+def test_roll_up_gives_the_same_overlaps_as_pairs(spark):
+    texts = [("s1", "BV-L-1"), ("s1", "BV-L-20"), ("s1", "BV-L-21"), ("s2", "BV-L"), ("s3", "BV-R-7"), ("s3", "BD-T07-04I-5")]
+    index = ad.with_key(spark.createDataFrame(texts, "structure_id string, cell string")).drop("cell")
+    asked = ["BV-L", "BV-L-2", "BV-L-20", "BV-L-201", "BV-R", "BV-R-1", "BD-T07", "BD-T07-04I"]
+    q = ad.with_key(spark.createDataFrame([(a,) for a in asked], "cell string"))
+    got = {(r["cell"], r["structure_id"]): r["part"] for r in nm.overlaps_by_structure(q, index).join(q, "cell_key").withColumn("part", F.col("overlap_width") / ad.key_width(F.col("cell_key"))).collect()}
+    over = {}
+    for a in asked:
+        for s, c in texts:
+            if a.startswith(c) or c.startswith(a):
+                w = 1.0 if a.startswith(c) else None
+                over.setdefault((a, s), []).append((w, c))
+    assert set(got) == set(over)
+    assert got["BV-L", "s1"] == 1 / 8 + 2 / 64 and got["BV-L-2", "s1"] == 2 / 8 and got["BV-L-201", "s1"] == 1 and got["BV-L", "s2"] == 1
