@@ -2,12 +2,15 @@
 
 Words and pairs of words are hashed into buckets. Their counts over trusted documents and over the whole corpus give two
 smoothed multinomials; a document's score is the mean of the log ratio over its n-grams, so long and short documents compare.
-The ratios are a table of fixed size, kept as whole thousandths: scores are integer sums, equal in every run. Scoring is
-row-local: no shuffle, and the same threshold for every document.
+Each distinct text counts once, however many copies it has, and is trusted if any of its rows is. The ratios are a table of fixed
+size, kept as whole thousandths: scores are integer sums, equal in every run. The least score is read off
+trusted texts that were held back. Scoring is row-local: no shuffle, and the same threshold for every document.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +20,9 @@ from bodygrid.llm.common import SPACE, WORD, words
 BUCKETS = 10_000
 #: Added to each bucket's count, as a share of one observation per bucket.
 SMOOTHING = 1.0
-#: Least mean log ratio, in thousandths per n-gram.
-LEAST = -60
+#: One trusted text of so many is held back to set the least score: this quantile less its distance from the median.
+HELD_BACK = 4
+LOWEST = 0.001
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 WINDOW = 3
@@ -33,22 +37,81 @@ def grams(w: Column, buckets: int) -> Column:
     return F.concat(one, F.array_compact(two))
 
 
+def _trusted_ids(trusted: DataFrame) -> DataFrame:
+    return trusted.select(F.col(trusted.columns[0]).alias("id")).distinct().hint("merge")  # the same plan at every size
+
+
+def _held_back(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(HELD_BACK)) == 0
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, key and text; the key is the text's identity. Null is the empty text."""
+    src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return src.select("id", F.sha2(F.encode("text", "UTF-8"), 256).alias("key"), "text")
+
+
+def _counts(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, buckets: int) -> list[tuple[int, int, int]]:
+    """(raw, target, learned) of each bucket: n-grams of all distinct texts, of the trusted ones, of those not held back."""
+    src = _keyed(docs, id_col, text_col)
+    keys = src.select("id", "key").join(_trusted_ids(trusted), "id").select("key").distinct().withColumn("trusted", F.lit(1)).hint("merge")
+    # copies meet before the shuffle: a text travels about once per task
+    src = src.groupBy("key").agg(F.first("text").alias("text")).join(keys, "key", "left")
+    src = src.select("trusted", F.when(~_held_back(F.col("key")), F.col("trusted")).alias("learned"), "text")
+    src = once(src, {"w": words(F.col("text"))}).select("trusted", "learned", "w")
+    each = src.select("trusted", "learned", F.explode(grams(F.col("w"), buckets)).alias("bucket"))
+    got = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("trusted").alias("target"), F.count("learned").alias("learned"))
+    every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(got, "bucket", "left").fillna(0)
+    return [(r[1], r[2], r[3]) for r in sorted(every.collect())]  # ``buckets`` rows
+
+
+def _logs(counts: list[tuple[int, int]]) -> list[int]:
+    raw, target = (sum(c) for c in zip(*counts))
+    base = math.log((raw + SMOOTHING * len(counts)) / (target + SMOOTHING * len(counts)))
+    return [round(1000 * (math.log((t + SMOOTHING) / (r + SMOOTHING)) + base)) for r, t in counts]
+
+
 def ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> list[int]:
     """Log ratio of each bucket in thousandths; ``trusted`` has the ids of the target documents. A list of fixed length.
 
-    Every document counts as raw, the trusted ones as target too. Ids join as values: a null id is trusted nowhere.
+    Every distinct text counts once as raw, and once as target too if any of its rows is trusted. Ids join as values: a null id
+    is trusted nowhere.
     """
-    ids = trusted.select(F.col(trusted.columns[0]).alias("id")).distinct().withColumn("trusted", F.lit(1)).hint("merge")  # the same plan at every size
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left")
-    src = once(src, {"w": words(F.col("text"))}).select("trusted", "w")
-    got = src.select("trusted", F.explode(grams(F.col("w"), buckets)).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("trusted").alias("target"))
-    every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(got, "bucket", "left").fillna(0)
-    rows = sorted(every.collect())  # ``buckets`` rows
-    raw, target = sum(r[1] for r in rows), sum(r[2] for r in rows)
-    import math
+    return _logs([(r, t) for r, t, _ in _counts(docs, trusted, id_col, text_col, buckets)])
+
+
+def _ratio(grams: Column, table: list[int]) -> Column:
+    """Mean log ratio over buckets of n-grams; null without any."""
+    ratio = F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")  # folded into a constant of fixed size
+    total = F.aggregate(grams, F.lit(0).cast("long"), lambda a, x: a + F.get(ratio, x))
+    return F.when(F.size(grams) > 0, total / F.size(grams))
 
-    base = math.log((raw + SMOOTHING * buckets) / (target + SMOOTHING * buckets))
-    return [round(1000 * (math.log((t + SMOOTHING) / (r + SMOOTHING)) + base)) for _, r, t in rows]
+
+def fitted(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> tuple[list[int], int | None]:
+    """The ratios, and the least mean log ratio in thousandths.
+
+    Trusted texts that are held back get ratios learned without them, as a good text without a label does. Of their scores the
+    least score is the quantile ``LOWEST`` less its distance from the median. Only texts of ``MIN_WORDS`` words, as the base rules
+    ask, have a say; without any the least score is None, and no text fails by its ratio.
+    """
+    counts = _counts(docs, trusted, id_col, text_col, buckets)
+    learned = _logs([(r, n) for r, _, n in counts])
+    src = once(_keyed(docs, id_col, text_col), {"w": words(F.col("text"))}).drop("text").filter(_held_back(F.col("key")) & (F.size("w") >= MIN_WORDS))
+    src = once(src, {"grams": grams(F.col("w"), buckets)}).drop("w")
+    src = once(src, {"score": F.floor(_ratio(F.col("grams"), learned)).cast("int")}).select("id", "key", "score")
+    each = src.join(_trusted_ids(trusted), "id").select("key", "score").distinct()
+    scores = sorted(each.groupBy("score").agg(F.count(F.lit(1)).alias("n")).collect())  # as many rows as the ratios have thousandths
+    least = 2 * _quantile(scores, LOWEST) - _quantile(scores, 0.5) if scores else None
+    return _logs([(r, t) for r, t, _ in counts]), least
+
+
+def _quantile(counts: list[tuple[int, int]], share: float) -> int:
+    left = share * sum(n for _, n in counts)
+    for value, n in counts:
+        left -= n
+        if left < 0:
+            return value
+    return counts[-1][0]
 
 
 def _repeats(df: DataFrame) -> DataFrame:
@@ -67,9 +130,9 @@ def _repeats(df: DataFrame) -> DataFrame:
     return once(df, {"n_repeat_words": covered}).drop("at")
 
 
-def scored(docs: DataFrame, table: list[int], text_col: str = "text", least: int = LEAST) -> DataFrame:
+def scored(docs: DataFrame, table: list[int], text_col: str = "text", least: int | None = None) -> DataFrame:
     """Adds to ``docs`` a struct ``quality``: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    llr (mean log ratio in thousandths, null without words) and kept.
+    llr (mean log ratio in thousandths, null without words) and kept. Without ``least`` no text fails by its ratio.
 
     Null and empty texts have no words and fail. Repeated rows have equal values. A column called ``quality`` is replaced.
     """
@@ -77,7 +140,6 @@ def scored(docs: DataFrame, table: list[int], text_col: str = "text", least: int
     cols = [c for c in docs.columns if c != "quality"]
     df = once(docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), text.alias("text")), {"w": words(F.col("text"))})
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
-    ratio = F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")  # folded into a constant of fixed size
     df = once(
         df.withColumn("lines", lines),
         {
@@ -88,17 +150,19 @@ def scored(docs: DataFrame, table: list[int], text_col: str = "text", least: int
             "grams": grams(F.col("w"), len(table)),
         },
     ).drop("text", "lines")
-    total = F.aggregate("grams", F.lit(0).cast("long"), lambda a, x: a + F.get(ratio, x))
-    df = once(df, {"llr": F.when(F.size("grams") > 0, total / F.size("grams"))}).drop("grams")
+    df = once(df, {"llr": _ratio(F.col("grams"), table)}).drop("grams")
     df = _repeats(df).drop("w")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    kept = ~failed & F.coalesce(F.col("llr") >= least, F.lit(False))
+    kept = ~failed if least is None else ~failed & F.coalesce(F.col("llr") >= least, F.lit(False))
     q = F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "llr", kept.alias("kept"))
     return df.select("row.*", q.alias("quality"))
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, least: int = LEAST) -> DataFrame:
-    """Per row: doc_id, the counts, base_failed, kept and llr. An empty table gives no rows; other columns are not read."""
+def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, least: int | None = None) -> DataFrame:
+    """Per row: doc_id, the counts, base_failed, kept and llr. An empty table gives no rows; other columns are not read.
+
+    ``least`` is that of ``fitted`` unless it is given.
+    """
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    table = ratios(src, trusted, buckets=buckets)
-    return scored(src, table, least=least).select("doc_id", "quality.*")
+    table, found = fitted(src, trusted, buckets=buckets)
+    return scored(src, table, least=found if least is None else least).select("doc_id", "quality.*")

@@ -15,9 +15,10 @@ from bodygrid.llm.queries import PACKING_TOKENIZER
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or the likelihood ratio go. Row-local once the ratios are known."""
+    """Documents that fail the base rules or the likelihood ratio go. Row-local once the ratios and the least score are known."""
     trusted = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
-    return quality.scored(docs, quality.ratios(docs, trusted)).filter("quality.kept").drop("quality")
+    ratios, least = quality.fitted(docs, trusted)
+    return quality.scored(docs, ratios, least=least).filter("quality.kept").drop("quality")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -84,6 +84,22 @@ def test_quality_ratio_is_the_mean_log_ratio(spark):
         assert r.llr == pytest.approx(sum(table[g] for g in grams) / len(grams))
 
 
+@pytest.mark.parametrize("labelled", [False, True])
+def test_quality_keeps_a_clean_text_that_is_a_third_of_all_rows(spark, labelled):
+    rng = np.random.default_rng(8)
+    clean, junk = prose(20, 400).split(), prose(21, 400).split()
+    draw = lambda share: " ".join(rng.choice(junk if rng.random() < share else clean) for _ in range(120))
+    rows = [(i, draw(0)) for i in range(200)] + [(1000 + i, draw(0.5)) for i in range(100)] + [(2000 + i, "") for i in range(150)]
+    hot = draw(0)
+    rows = [(i, hot if i >= 2000 else t) for i, t in rows]
+    good = [(i,) for i in range(100)] + ([(2007,), (2008,)] if labelled else [])
+    got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(good, "doc_id bigint")).collect()}
+    assert len(got) == len(rows) and not any(r.base_failed for r in got.values())
+    assert all(r.kept for i, r in got.items() if i >= 2000)
+    assert sum(r.kept for i, r in got.items() if i < 200) >= 198
+    assert not any(r.kept for i, r in got.items() if 1000 <= i < 2000)
+
+
 def test_language(docs, none, spark):
     words = {"en": "the and of with there house which", "de": "der und die nicht eine Haus welche", "fr": "le et des avec une maison quelle"}
     rng = np.random.default_rng(0)
