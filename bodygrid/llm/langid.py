@@ -1,8 +1,8 @@
 """Language of a text by averaged hashed subword embeddings and a linear softmax.
 
 A text is the mean of the embeddings of its words' subwords (character n-grams with word ends, hashed into buckets), then a
-linear layer and a softmax. Training is stochastic gradient descent in numpy over a sample of at most ``per_language`` labelled
-documents per language: that is the documented bound of what the driver holds. A part of the sample is held back to set the
+linear layer and a softmax. Training is stochastic gradient descent in numpy over a sample of at most ``per_language`` distinct
+labelled texts per language: that is the documented bound of what the driver holds. A part of the sample is held back to set the
 temperature and the rejection threshold. Subwords are hashed and counted by numpy over the whole text, in blocks of words, so
 predicting is linear in the text however many different words there are.
 """
@@ -15,13 +15,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 15
 WIDTH = 16
 SHORTEST, LONGEST = 2, 4
-#: Expected documents per language in the sample; no more than twice as many are ever taken.
+#: Distinct texts per language in the sample, or all if it has fewer.
 PER_LANGUAGE = 400
 ROUNDS = 12
 RATE = 0.5
@@ -76,12 +76,20 @@ def _features(text: str) -> tuple[np.ndarray, np.ndarray]:
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, np.ndarray, np.ndarray]]:
     """(lang, buckets, counts) of a bounded sample by hash of the text; needs the columns text and lang without nulls.
 
-    Whole texts are read. The rows of one language are at most ``2 * per_language``.
+    Whole texts are read. A text counts once per language, however many copies it has. A language has ``per_language`` rows, or one
+    for each of its texts if it has fewer.
     """
-    sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, per_language / n))]) if sizes else F.create_map()
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    some = docs.filter(draw < share[F.col("lang")]) if sizes else docs.limit(0)
+    pairs = docs.select("lang", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
+    sizes = {r["lang"]: r["n"] for r in pairs.select("lang", "h1", "h2").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
+    if not sizes:
+        return []
+    # twice as many as are taken are expected; a language of no more than that is here whole
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, 2 * max(per_language, 100) / n))])
+    draw = F.pmod("h1", F.lit(1 << 30))
+    some = pairs.filter(draw / F.lit(float(1 << 30)) < share[F.col("lang")])
+    # copies meet before the shuffle
+    some = some.groupBy("lang", "h1", "h2").agg(F.first("text").alias("text"))
+    some = some.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(draw, "h1", "h2"))).filter(F.col("nth") <= per_language)
 
     def count(batches):
         for b in batches:
@@ -89,12 +97,8 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str,
                 keys, n = _features(text.as_py())
                 yield pa.RecordBatch.from_pydict({"lang": [lang], "h": pa.array([zlib.crc32(keys.tobytes())], pa.int64()), "keys": pa.array([keys.tobytes()], pa.binary()), "n": pa.array([n.tobytes()], pa.binary())})
 
-    rows, taken = [], {}
-    for r in sorted(some.select("lang", "text").mapInArrow(count, "lang string, h bigint, keys binary, n binary").collect(), key=lambda r: (r["lang"], r["h"], bytes(r["keys"]))):
-        taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-        if taken[r["lang"]] <= 2 * per_language:
-            rows.append((r["lang"], np.frombuffer(r["keys"], np.int32), np.frombuffer(r["n"], np.float32)))
-    return rows
+    got = some.select("lang", "text").mapInArrow(count, "lang string, h bigint, keys binary, n binary").collect()  # no more than ``per_language`` a language
+    return [(r["lang"], np.frombuffer(r["keys"], np.int32), np.frombuffer(r["n"], np.float32)) for r in sorted(got, key=lambda r: (r["lang"], r["h"], bytes(r["keys"]), bytes(r["n"])))]
 
 
 def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Model:

@@ -115,6 +115,14 @@ def test_language(docs, none, spark):
     assert langid.identify(docs).count() == docs.count()
 
 
+def test_language_sample_takes_each_text_once(spark):
+    hot, few = "one text of many copies", "der eine Text"
+    rows = [(hot, "en")] * 1800 + [(prose(i, 30), "en") for i in range(200)] + [(few, "de")] * 900 + [(prose(500 + i, 30), "fr") for i in range(7)]
+    got = langid.sample(spark.createDataFrame(rows, "text string, lang string").repartition(5), per_language=50)
+    assert collections.Counter(r[0] for r in got) == {"en": 50, "de": 1, "fr": 7}
+    assert len({(lang, k.tobytes(), n.tobytes()) for lang, k, n in got}) == 58
+
+
 def test_personal_data(docs, none, spark):
     found = pii.digest(pii.find_personal_data(docs)).collect()
     assert len(found) == docs.count()
