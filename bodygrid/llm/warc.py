@@ -6,7 +6,8 @@ without a body. Reading parses records by their lengths, groups segments by the
 checks the numbering and the total length, and takes the chunk framing off the whole block.
 
 Archives are written by the tasks through the file system of the shared folder. A task writes into a folder of its own attempt
-and moves it into place when it is complete, so that a lost or repeated attempt leaves nothing that is read.
+below ``_attempts``; the driver moves those of the attempts whose results it got into place, and only these are read. What a lost
+or repeated attempt leaves stays below ``_attempts``.
 """
 
 from __future__ import annotations
@@ -123,13 +124,15 @@ def payload_of(block: bytes) -> bytes:
 def write_archives(pages: DataFrame, folder: str, segment_bytes: int = SEGMENT_BYTES, file_bytes: int = FILE_BYTES) -> int:
     """Writes archives of (page_id, url, html, revisit_of) under ``folder``, a folder of a file system that all executors share; how many files."""
 
+    uri = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+
     def write(batches):
         from pyarrow import fs
         from pyspark import TaskContext
 
-        store, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
-        task = TaskContext.get().partitionId()
-        mine, final = f"{root}/attempt-{uuid.uuid4().hex}", f"{root}/part-{task:06d}"
+        store, root = fs.FileSystem.from_uri(uri)
+        name = uuid.uuid4().hex
+        mine = f"{root}/_attempts/{name}"
         out, n = None, 0
         for b in batches:
             for page_id, url, html, revisit_of in zip(*[c.to_pylist() for c in b.columns]):
@@ -145,21 +148,27 @@ def write_archives(pages: DataFrame, folder: str, segment_bytes: int = SEGMENT_B
         if out is not None:
             out.close()
         if n:
-            if store.get_file_info(final).type != fs.FileType.NotFound:
-                store.delete_dir(final)
-            store.move(mine, final)
-        yield pa.RecordBatch.from_pydict({"files": pa.array([n], pa.int32())})
+            yield pa.RecordBatch.from_pydict({"task": pa.array([TaskContext.get().partitionId()], pa.int32()), "name": [name], "files": pa.array([n], pa.int32())})
+
+    done = pages.select("page_id", "url", "html", "revisit_of").mapInArrow(write, "task int, name string, files int").collect()  # one row per task
+    from pyarrow import fs
 
-    return pages.select("page_id", "url", "html", "revisit_of").mapInArrow(write, "files int").agg(F.sum("files")).collect()[0][0] or 0
+    store, root = fs.FileSystem.from_uri(uri)
+    for r in done:
+        final = f"{root}/part-{r['task']:06d}"
+        if store.get_file_info(final).type != fs.FileType.NotFound:
+            store.delete_dir(final)
+        store.move(f"{root}/_attempts/{r['name']}", final)
+    return sum(r["files"] for r in done)
 
 
 _READ = "origin string, type string, segment int, total bigint, page_id bigint, digest string, refers bigint, block binary"
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """Segments of all archives under ``folder``: the columns of a record, one row each. Whole files are at most FILE_BYTES
-    and one record large."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.warc.gz").load(folder)
+    """Segments of all archives in the parts of ``folder``: the columns of a record, one row each. Whole files are at most
+    FILE_BYTES and one record large."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.warc.gz").load(f"{folder}/part-*")
 
     def parse(batches):
         whole = lambda x: None if x is None else int(x)

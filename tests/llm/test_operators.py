@@ -233,6 +233,16 @@ def test_archives(spark, tmp_path):
     assert warc.archived(pages.limit(0)).count() == 0
 
 
+def test_archives_of_lost_attempts_are_not_read(spark, tmp_path):
+    whole = b"".join(gzip.compress(r) for r in warc.page_records(1, "http://a", b"left over " * 300, None))
+    for name, data in (("attempt-1", whole), ("attempt-2", whole[:-40]), ("_attempts/3", whole), ("_attempts/4", whole[:-40])):
+        (tmp_path / "w" / name).mkdir(parents=True)
+        (tmp_path / "w" / name / "000000.warc.gz").write_bytes(data)
+    pages = spark.createDataFrame([(i, "http://a", f"page {i}") for i in range(20)], "page_id bigint, url string, html string")
+    got = warc.archived(pages.repartition(3), folder=f"file://{tmp_path}/w").collect()
+    assert sorted(r.page_id for r in got) == list(range(20)) and all(r.problem is None for r in got)
+
+
 def test_broken_segments_are_told(spark):
     parts = warc.page_records(1, "http://a", b"z" * 50000, None, 8192)
     assert len(parts) > 5
