@@ -1,9 +1,10 @@
 """Personal data: base patterns, then bootstrapped contextual extraction.
 
 Matches of the base patterns are the seeds. The words before a seed are a lexical pattern; the values that occur after it are its
-instances. Patterns and instances form a graph whose edges Spark counts and scores in rounds: a pattern is as good as the share
-of its occurrences that hold trusted instances of one kind, an instance as good as the patterns that lead to it together. Values
-that look like identifiers but match no base pattern are taken as the kind of a pattern of high confidence before them.
+instances. Patterns and instances form a graph whose edges Spark counts and scores in rounds: a pattern is as good as its trusted
+instances of one kind against instances of other kinds and values that can't be of that kind; values that can be, but are not
+found yet, say nothing. An instance is as good as the patterns that lead to it together. Values of the loosened shape of a kind
+that match no base pattern are taken as that kind after a pattern of high confidence.
 """
 
 from __future__ import annotations
@@ -24,8 +25,12 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-#: Tokens that may be identifiers: runs of these signs with at least four digits.
-TOKEN = r"(?<![A-Za-z0-9@._+-])(?=(?:[A-Za-z@._+-]*+[0-9]){4})[A-Za-z0-9@._+-]++"
+#: What may be an identifier: name@host, groups of digits with at least four, or a run of these signs with at least four digits.
+TOKEN = (
+    r"(?<![A-Za-z0-9@._%+-])(?:[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+"
+    r"|(?=(?:[\x20().-]{0,3}+[0-9]){4})(?:\([0-9]{1,6}+\)[\x20.-]{0,2}+(?=[0-9]))?+[0-9]++(?![A-Za-z@_+])(?:[\x20().-]{1,3}+[0-9]++(?![A-Za-z@_+]))*+"
+    r"|(?=(?:[A-Za-z@._+-]*+[0-9]){4})[A-Za-z0-9@._+-]++)"
+)
 #: Rounds of scoring; least confidence; least number of different trusted instances of a pattern.
 ROUNDS = 3
 CONFIDENT = 0.9
@@ -57,6 +62,13 @@ def base_spans(text: Column) -> Column:
     return F.concat(*found)
 
 
+def _may_be(value: Column) -> Column:
+    """Kinds whose loosened shape a value has that no base pattern finds."""
+    n, digits = F.char_length(_digits(value)), ~value.rlike("[A-Za-z@]")
+    shape = {"email": value.rlike("[A-Za-z]"), "ip": value.rlike(r"^[0-9]+(?:[\x20.-][0-9]+){3}$"), "card": digits & n.between(12, 19), "phone": digits & n.between(7, 15)}
+    return F.array_compact(F.array(*[F.when(shape[k], F.lit(k)) for k in KINDS]))
+
+
 def _tokens(text: Column, base: Column) -> Column:
     """Possible identifiers that touch no base span, without signs at their ends; kind is null."""
 
@@ -93,17 +105,20 @@ def _edges(rows: DataFrame) -> DataFrame:
 def pattern_scores(edges: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT, support: int = SUPPORT) -> DataFrame:
     """(pattern, kind, confidence, instances) of the patterns that are confident after the rounds."""
     total = edges.groupBy("pattern").agg(F.sum("n").alias("total"))
+    may = F.when(F.col("kind").isNull(), _may_be(F.col("value"))).otherwise(F.array("kind"))
+    fits = edges.select("pattern", "n", F.explode(may).alias("kind")).groupBy("pattern", "kind").agg(F.sum("n").alias("fits"))
+    against = stored(fits.join(total, "pattern").select("pattern", "kind", (F.col("total") - F.col("fits")).alias("against")))
     known = edges.filter("kind is not null").select("value", "kind").distinct().withColumn("trust", F.lit(1.0))
     good = None
     for k in range(rounds):
-        held = edges.select("pattern", "value", "n", F.col("kind").alias("own")).join(known, "value").filter(F.col("own").isNull() | (F.col("own") == F.col("kind")))
+        held = edges.select("pattern", "value", "n", may.alias("may")).join(known, "value").filter(F.array_contains("may", F.col("kind")))
         score = held.groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("trust")).alias("held"), F.count(F.lit(1)).alias("instances"))
-        score = score.filter(F.col("instances") >= support).join(total, "pattern")
-        good = stored(score.select("pattern", "kind", F.round(F.col("held") / (F.col("total") + 1), 9).alias("confidence"), "instances").filter(F.col("confidence") >= confident))
+        score = score.filter(F.col("instances") >= support).join(against, ["pattern", "kind"])
+        good = stored(score.select("pattern", "kind", F.round(F.col("held") / (F.col("held") + F.col("against") + 1), 9).alias("confidence"), "instances").filter(F.col("confidence") >= confident))
         if k + 1 == rounds or not good.limit(1).count():
             break
         # an unseen value is trusted as much as its patterns are together
-        fresh = edges.filter("kind is null").select("pattern", "value").join(good, "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999)))))).alias("trust"))
+        fresh = edges.filter("kind is null").select("pattern", "value").join(good, "pattern").filter(F.array_contains(_may_be(F.col("value")), F.col("kind"))).groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999)))))).alias("trust"))
         seeds = edges.filter("kind is not null").select("value", "kind").distinct().withColumn("trust", F.lit(1.0))
         known = stored(seeds.unionByName(fresh.select("value", "kind", F.round("trust", 9).alias("trust"))))
     return good
@@ -118,7 +133,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = occurrences(docs, id_col, text_col)
     good = pattern_scores(_edges(rows))
     loose = rows.select("row", F.posexplode("loose").alias("nth", "o")).select("row", "nth", "o.start", "o.end", "o.value", "o.before", F.explode(_patterns(F.col("o.before"))).alias("pattern"))
-    told = loose.join(good.select("pattern", "kind", "confidence"), "pattern")
+    told = loose.join(good.select("pattern", "kind", "confidence"), "pattern").filter(F.array_contains(_may_be(F.col("value")), F.col("kind")))
     best = told.groupBy("row", "nth", "start", "end", "value", "before").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "kind")).alias("best"))
     one = F.struct(F.col("best.kind").alias("kind"), "start", "end", "value", "before")
     added = best.groupBy("row").agg(F.collect_list(one).alias("added"))  # no more than the tokens of one document

@@ -152,6 +152,15 @@ def test_personal_data_is_found_by_context(spark):
     assert got[101] == "" and got[102] == ""
 
 
+def test_personal_data_of_loosened_shapes_is_found_by_context(spark):
+    unseen = ["020 7946 0958", "(555) 123-4567"] + [f"0171-55501{i:02}" for i in range(20)]
+    rows = [(i, f"call phone +49 171 55502{i:02} now") for i in range(90)] + [(100 + i, f"call phone {v} now") for i, v in enumerate(unseen)]
+    rows += [(200 + i, f"mail to user{i}@host.org now") for i in range(40)] + [(300, "mail to alice@intranet now"), (301, "call phone 2024 now"), (302, "1 " * 20000 + "x")]
+    got = {r.doc_id: r.spans for r in pii.digest(pii.find_personal_data(spark.createDataFrame(rows, "doc_id bigint, text string"))).collect()}
+    assert [got[100 + i] for i in range(len(unseen))] == [f"phone:11:{11 + len(v)}" for v in unseen]
+    assert got[300] == "email:8:22" and got[301] == "" and got[302] == ""
+
+
 def test_secrets(docs, none, spark):
     rng = np.random.default_rng(6)
     texts = ["".join(rng.choice(["token", "Api_Key", "=", ":", " ", '"', "ab12", "secret", "AKIA", "0f" * 13, "Z9" * 8, "é"], 12)) for _ in range(300)]
