@@ -30,14 +30,14 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, by: str | None = None) -> DataFrame:
     """``df`` written as a table into the shared folder and read again: lineage ends here, and lost executors lose nothing.
 
     Row numbers and other values that depend on the order of rows are fixed by it. The files stay until the folder is
-    cleared, as lazy results may still read them.
+    cleared, as lazy results may still read them. ``by``: a column whose values get folders of their own.
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
