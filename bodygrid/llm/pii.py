@@ -79,7 +79,7 @@ def _tokens(text: Column, base: Column) -> Column:
         return F.struct(F.lit(None).cast("string").alias("kind"), start.alias("start"), (start + F.char_length(v)).alias("end"), v.alias("value"), s["before"].alias("before"))
 
     got = F.transform(spans.matches(text, TOKEN, context=True), trimmed)
-    return F.filter(got, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    return spans.bound(got, lambda g: spans.apart(g, base))
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
