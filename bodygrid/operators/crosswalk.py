@@ -267,7 +267,7 @@ def region_pages(links: DataFrame, page_size: int = 1000) -> DataFrame:
         F.count(F.lit(1)).alias("links"), F.bool_or(F.col("precision") == "exact").alias("exact")
     )
     n = pairs.groupBy("region_key").agg(F.ceil(F.count(F.lit(1)) / page_size).cast("int").alias("pages"))
-    paged = pairs.join(n, "region_key").withColumn("page", F.pmod(F.xxhash64("paper_id"), F.col("pages")).cast("int"))
+    paged = pairs.join(n, "region_key").withColumn("page", F.pmod(F.conv(F.substring(F.md5("paper_id"), 1, 8), 16, 10).cast("long"), F.col("pages")).cast("int"))
     papers = F.array_sort(F.collect_list(F.struct("paper_id", "links", "exact")))
     g = paged.groupBy("region_key", "pages", "page").agg(papers.alias("papers"))
     return g.select("region_key", "page", "pages", F.to_json(F.struct(F.lit("region").alias("kind"), "region_key", "papers")).alias("body"))

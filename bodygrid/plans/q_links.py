@@ -214,7 +214,7 @@ def described_links(spark, sf):
 )
 def region_documents(spark, sf):
     """Query answers as documents; large regions are paged (one page each at this size)."""
-    return xw.region_pages(links(spark, sf), 1000000).select("region_key", "body")
+    return xw.region_pages(links(spark, sf)).select("region_key", "page", "body")
 
 
 @query(
@@ -224,7 +224,7 @@ def region_documents(spark, sf):
 )
 def document_validation(spark, sf):
     """Documents against their field lists; unknown and missing fields are errors."""
-    d = xw.region_pages(links(spark, sf), 1000000)
+    d = xw.region_pages(links(spark, sf))
     n = F.length("region_key") % 5
     body = (
         F.when(n == 0, F.concat(F.lit('{"extra":1,'), F.expr("substring(body, 2)")))
