@@ -15,18 +15,24 @@ from bodygrid.session import cut_lineage
 def index_from_solids(
     vertices: DataFrame, triangles: DataFrame, parts: DataFrame, encode: Callable[[DataFrame], DataFrame], step: float, cell: float, least_step: float = 1.0, min_span: float = 0.5
 ) -> tuple[DataFrame, DataFrame]:
-    """(cells: solid_id, cell_key; report per solid) of solids made of closed surfaces.
+    """(cells: solid_id, cell_key; report per solid) of solids made of surfaces.
 
     ``parts``: solid_id, mesh_id. ``encode`` adds ``cell_key`` and ``clamped`` to points. A solid is the union of its
     parts: the points of one lattice through the origin that lie in a part's box are tested against that part alone. The
     step is halved, down to ``least_step``, until a solid has a point. Points that span less than ``min_span`` of the
     solid on an axis longer than two steps did not resolve it: such a solid, and one without a point, falls back to its
-    vertices. Clamped points are counted and have no cell. ``ambiguous`` counts points on which the rays disagree.
+    vertices. Only the closed parts are sampled; a part that isn't closed counts by its vertices alone. Vertices without
+    triangle are no part of a solid. Clamped points are counted and have no cell. ``ambiguous`` counts points on which the rays disagree.
     """
+    if step < least_step:
+        raise ValueError("the first step is less than the least one")
+    vertices = ms.drawn(vertices, triangles)
+    triangles, unfit = ms.solids(triangles)
     axes = [(w, f, ax) for ax in "xyz" for w, f in (("lo", F.min), ("hi", F.max))]
     box = vertices.groupBy("mesh_id").agg(*[f(ax).alias(f"{w}_{ax}") for w, f, ax in axes])
     box = cut_lineage(parts.select("solid_id", "mesh_id").join(box, "mesh_id"))
-    open_, found, s = box, None, step
+    closed = cut_lineage(box.join(unfit, "mesh_id", "left_anti"))
+    open_, found, s = closed, None, step
     while s >= least_step:
         lat = ms.lattice(open_.withColumn("box_id", F.struct("solid_id", "mesh_id")), s)
         p = lat.select(F.struct("box_id.solid_id", "x", "y", "z").alias("point_id"), "box_id.mesh_id", "x", "y", "z")

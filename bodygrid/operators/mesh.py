@@ -127,6 +127,23 @@ def edge_report(triangles: DataFrame) -> DataFrame:
     )
 
 
+def solids(triangles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(triangles of closed surfaces; mesh_id, reason of the others), decided from the edges.
+
+    A triangle that repeats a corner has no area and is dropped first. A surface is closed if every edge has two triangles that
+    run along it in opposite directions.
+    """
+    t = triangles.filter("a <> b and b <> c and a <> c")
+    why = F.when(C("open_edges") > 0, "open").when(C("over_shared") > 0, "over-shared edge").when(C("inconsistent") > 0, "inconsistent winding")
+    bad = edge_report(t).select("mesh_id", why.alias("reason")).filter("reason is not null")
+    return t.join(bad, "mesh_id", "left_anti"), bad
+
+
+def drawn(vertices: DataFrame, triangles: DataFrame) -> DataFrame:
+    """Vertices that a triangle uses."""
+    return vertices.join(triangles.select("mesh_id", F.explode(F.array("a", "b", "c")).alias("vid")), ["mesh_id", "vid"], "left_semi")
+
+
 def components(triangles: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected component of every used vertex: (mesh_id, vid, component = lowest vertex id).
 
@@ -232,7 +249,7 @@ def _triangle_distance(d: DataFrame) -> DataFrame:
             "_nn": _dot(_cross(e1, e2), _cross(e1, e2)), "_np": _dot(ap, _cross(e1, e2)),
         },
     )
-    den = C("_11") * C("_22") - C("_12") * C("_12")
+    den = F.nullif(C("_11") * C("_22") - C("_12") * C("_12"), F.lit(0.0))  # null without area: its edges decide
     v = (C("_22") * C("_p1") - C("_12") * C("_p2")) / den
     w = (C("_11") * C("_p2") - C("_12") * C("_p1")) / den
     inside = (den > 0) & (v >= 0) & (w >= 0) & (v + w <= 1)

@@ -46,9 +46,13 @@ def triangles(spark, sf):
     return t.unionByName(extra)
 
 
-def closed(spark, sf):
-    keep = "mesh_id % 10 not in (3, 4, 5)"
-    return vertices(spark, sf).filter(keep), triangles(spark, sf).filter(keep)
+def solid(spark, sf):
+    """Vertices, the triangles of closed surfaces, and why the others are not."""
+    return vertices(spark, sf), *ms.solids(triangles(spark, sf))
+
+
+def surfaces(spark, sf):
+    return vertices(spark, sf), triangles(spark, sf)
 
 
 def soup(spark, sf):
@@ -83,12 +87,15 @@ def mesh_statistics(spark, sf):
 @query(
     "WITH " + BOXES
     + """ SELECT mesh_id, round(sx * sy * sz, 6) AS volume, round(x0 + sx / 2, 6) AS centroid_x, round(y0 + sy / 2, 6) AS centroid_y, round(z0 + sz / 2, 6) AS centroid_z,
-      round(x0 + sx / 2, 6) AS area_centroid_x, 0.0 AS open_share FROM box WHERE mesh_id % 10 NOT IN (3, 4, 5)"""
+      round(x0 + sx / 2, 6) AS area_centroid_x, 0.0 AS open_share, NULL AS reason FROM box WHERE mesh_id % 10 <> 3
+      UNION ALL SELECT mesh_id, NULL, NULL, NULL, NULL, NULL, NULL, 'open' FROM box WHERE mesh_id % 10 = 3"""
 )
 def mesh_volumes(spark, sf):
-    s = ms.volumes(*closed(spark, sf))
+    """Measures of closed surfaces, and a reason for the others."""
+    v, t, why = solid(spark, sf)
     r = lambda c: F.round(c, 6).alias(c)
-    return s.select("mesh_id", r("volume"), r("centroid_x"), r("centroid_y"), r("centroid_z"), r("area_centroid_x"), "open_share")
+    s = ms.volumes(v, t).select("mesh_id", r("volume"), r("centroid_x"), r("centroid_y"), r("centroid_z"), r("area_centroid_x"), "open_share")
+    return s.unionByName(why, allowMissingColumns=True)
 
 
 @query(
@@ -102,10 +109,11 @@ def mesh_edges(spark, sf):
 @query(
     "WITH " + BOXES
     + """, c AS (SELECT mesh_id, unnest(range(8)) AS vid FROM box), n AS (SELECT mesh_id, vid, CASE WHEN vid % 2 = 1 THEN 1 ELSE -1 END AS ux, CASE WHEN vid // 2 % 2 = 1 THEN 1 ELSE -1 END AS uy, CASE WHEN vid // 4 = 1 THEN 1 ELSE -1 END AS uz FROM c)
-    SELECT mesh_id, vid, ux AS sign_x, uy AS sign_y, uz AS sign_z, 1.0 AS length FROM n WHERE mesh_id % 10 NOT IN (3, 4, 5)"""
+    SELECT mesh_id, vid, CASE WHEN mesh_id % 10 = 3 AND ux = 1 THEN 0 ELSE ux END AS sign_x, uy AS sign_y, uz AS sign_z, 1.0 AS length FROM n
+    UNION ALL SELECT mesh_id, 8, 0, 0, 1, 1.0 FROM box WHERE mesh_id % 10 = 5"""
 )
 def mesh_normals(spark, sf):
-    n = ms.vertex_normals(*closed(spark, sf))
+    n = ms.vertex_normals(*surfaces(spark, sf))
     sg = lambda a: F.signum(f"n{a}").cast("int").alias(f"sign_{a}")
     return n.select("mesh_id", "vid", sg("x"), sg("y"), sg("z"), F.round(F.sqrt(F.col("nx") ** 2 + F.col("ny") ** 2 + F.col("nz") ** 2), 6).alias("length"))
 
@@ -165,14 +173,14 @@ INSIDE = "x > x0 AND x < x0 + sx AND y > y0 AND y < y0 + sy AND z > z0 AND z < z
 
 @stored("inside_points")
 def inside(spark, sf):
-    v, t = closed(spark, sf)
+    v, t, _ = solid(spark, sf)
     return ms.points_in_solids(inner_points(spark, sf), v, t, 4.0)
 
 
-@query(ctes(BOXES, PTS) + f"SELECT point_id, mesh_id FROM ip JOIN box ON mesh_id % 10 NOT IN (3, 4, 5) AND {INSIDE}")
+@query(ctes(BOXES, PTS) + f"SELECT point_id, mesh_id, NULL AS reason FROM ip JOIN box ON mesh_id % 10 <> 3 AND {INSIDE} UNION ALL SELECT NULL, mesh_id, 'open' FROM box WHERE mesh_id % 10 = 3")
 def points_in_solids(spark, sf):
-    """Point in closed surface by parity of three skew rays."""
-    return inside(spark, sf).select("point_id", "mesh_id")
+    """Point in closed surface by parity of three skew rays; surfaces that aren't closed with the reason."""
+    return inside(spark, sf).select("point_id", "mesh_id").unionByName(solid(spark, sf)[2], allowMissingColumns=True)
 
 
 DIST = """sqrt(power(greatest(x0 - x, x - x0 - sx, 0), 2) + power(greatest(y0 - y, y - y0 - sy, 0), 2) + power(greatest(z0 - z, z - z0 - sz, 0), 2))"""
@@ -185,23 +193,28 @@ def supplier_points(spark, sf):
     return s.select(k.alias("point_id"), ((k * 7919 % 11003) / 100.0 - 52.003).alias("x"), ((k * 6007 % 13007) / 100.0 - 61.007).alias("y"), ((k * 4999 % 12007) / 100.0 - 51.009).alias("z"))
 
 
+_D = {ax: f"power(greatest({ax}0 - {ax}, {ax} - {ax}0 - s{ax}, 0), 2)" for ax in "xyz"}
+_FACE = lambda ax, at: f"sqrt(power({ax} - {at}, 2) + {' + '.join(d for o, d in _D.items() if o != ax)})"
+#: Distance to the faces of a box; one in ten has none at its far end along x.
+SURFACE = "least(" + ", ".join([_FACE(ax, f"{ax}0") for ax in "xyz"] + [_FACE(ax, f"({ax}0 + s{ax})") for ax in "yz"] + [f"CASE WHEN mesh_id % 10 <> 3 THEN {_FACE('x', '(x0 + sx)')} END"]) + ")"
+
 CP = """cpt AS (SELECT c_custkey AS point_id, (c_custkey * 7919 % 11003) / 100.0::DOUBLE - 52.003 AS x, (c_custkey * 6007 % 13007) / 100.0::DOUBLE - 61.007 AS y, (c_custkey * 4999 % 12007) / 100.0::DOUBLE - 51.009 AS z FROM customer)"""
 
 
-@query(ctes(BOXES, CP) + f"SELECT point_id, round(min({DEPTH}), 6) AS distance FROM cpt, box WHERE mesh_id % 10 NOT IN (3, 4, 5) GROUP BY point_id")
+@query(ctes(BOXES, CP) + f"SELECT point_id, round(min({SURFACE}), 6) AS distance FROM cpt, box GROUP BY point_id")
 def nearest_surfaces(spark, sf):
     """Exact distance to the nearest triangle, inside or outside."""
-    v, t = closed(spark, sf)
+    v, t = surfaces(spark, sf)
     n = ms.nearest_surface(supplier_points(spark, sf), v, t, 4.0)
     return n.select("point_id", F.round("distance", 6).alias("distance"))
 
 
 @query(
     ctes(BOXES, PTS)
-    + f""", d AS (SELECT point_id, mesh_id, {DEPTH} AS depth FROM ip JOIN box ON mesh_id % 10 NOT IN (3, 4, 5) AND {INSIDE}) SELECT mesh_id, count(*) AS inside, count(*) FILTER (depth > 1) AS deeper_than_1, count(*) FILTER (depth > 2) AS deeper_than_2 FROM d GROUP BY mesh_id"""
+    + f""", d AS (SELECT point_id, mesh_id, {DEPTH} AS depth FROM ip JOIN box ON mesh_id % 10 <> 3 AND {INSIDE}) SELECT mesh_id, count(*) AS inside, count(*) FILTER (depth > 1) AS deeper_than_1, count(*) FILTER (depth > 2) AS deeper_than_2 FROM d GROUP BY mesh_id"""
 )
 def depth_inside_solids(spark, sf):
-    v, t = closed(spark, sf)
+    v, t = surfaces(spark, sf)
     p = inside(spark, sf).join(inner_points(spark, sf), "point_id").withColumn("pid", F.concat_ws("/", "point_id", "mesh_id"))
     d = ms.nearest_surface(p.select(F.col("pid").alias("point_id"), "mesh_id", "x", "y", "z"), v, t, 4.0, by=["mesh_id"])
     d = d.withColumn("point_id", F.substring_index("point_id", "/", 1).cast("long"))
@@ -218,18 +231,19 @@ def rays(spark, sf):
     return n.select(k.alias("ray_id"), F.lit(-80.0).alias("ox"), ((k * 5 - 60).cast("double") + 0.37).alias("oy"), ((k * 4 - 48).cast("double") + 0.41).alias("oz"), F.lit(1.0).alias("dx"), z.alias("dy"), z.alias("dz"))
 
 
-@query(ctes(BOXES, RAYS_SQL) + "SELECT ray_id, mesh_id, round(x0 - ox, 6) AS t, row_number() OVER (PARTITION BY ray_id ORDER BY x0 - ox, mesh_id) AS rank FROM ry JOIN box ON mesh_id % 10 NOT IN (3, 4, 5) AND oy > y0 AND oy < y0 + sy AND oz > z0 AND oz < z0 + sz")
+@query(ctes(BOXES, RAYS_SQL) + "SELECT ray_id, mesh_id, round(x0 - ox, 6) AS t, row_number() OVER (PARTITION BY ray_id ORDER BY x0 - ox, mesh_id) AS rank FROM ry JOIN box ON oy > y0 AND oy < y0 + sy AND oz > z0 AND oz < z0 + sz")
 def ray_picks(spark, sf):
     """Every solid each ray hits, nearest first."""
-    v, t = closed(spark, sf)
+    v, t = surfaces(spark, sf)
     return ms.pick(rays(spark, sf), v, t, 8.0, 200.0).select("ray_id", "mesh_id", F.round("t", 6).alias("t"), "rank")
 
 
-@query("WITH " + BOXES + " SELECT mesh_id, 0.5 AS max_mm, 0.5 AS mean_mm, 0.5 AS p95_mm, 0.5 AS hausdorff_mm FROM box WHERE mesh_id % 10 NOT IN (3, 4, 5)")
+@query("WITH " + BOXES + ", m AS (SELECT mesh_id, (mesh_id % 4 + 1) * 0.25 AS mm FROM box) SELECT mesh_id, mm AS max_mm, mm AS mean_mm, mm AS p95_mm, mm AS hausdorff_mm FROM m")
 def surface_deviations(spark, sf):
-    """A surface against a copy moved by half a millimetre along x: every corner is that far off or nearer faces decide."""
-    v, t = closed(spark, sf)
-    moved = v.withColumn("x", F.when(F.col("vid") % 2 == 1, F.col("x") + 0.5).otherwise(F.col("x") - 0.5))
+    """A surface against a copy made longer along x at both ends, by another length for each mesh."""
+    v, t = surfaces(spark, sf)
+    v, mm = ms.drawn(v, t), (F.col("mesh_id") % 4 + 1) * 0.25
+    moved = v.withColumn("x", F.when(F.col("vid") % 2 == 1, F.col("x") + mm).otherwise(F.col("x") - mm))
     pts = lambda d: d.select(F.concat_ws("/", "mesh_id", "vid").alias("point_id"), "mesh_id", "x", "y", "z")
     a = ms.one_sided_distance(pts(v), moved, t, 2.0)
     b = ms.one_sided_distance(pts(moved), v, t, 2.0)
@@ -238,22 +252,22 @@ def surface_deviations(spark, sf):
     return b.select("mesh_id", r("max_mm"), r("mean_mm"), r("p95_mm")).join(d.select("mesh_id", r("hausdorff_mm")), "mesh_id")
 
 
-@query("WITH " + BOXES + " SELECT mesh_id, round(x0 + sx / 2, 6) AS mean_x FROM box WHERE mesh_id % 10 <> 5 AND sign(x0 + sx / 2) <> CASE WHEN mesh_id % 2 = 0 THEN 1 ELSE -1 END")
+@query("WITH " + BOXES + """, m AS (SELECT mesh_id, CASE WHEN mesh_id % 10 = 5 THEN (8 * (x0 + sx / 2) + x0 - 100) / 9 ELSE x0 + sx / 2 END AS mean FROM box)
+    SELECT mesh_id, round(mean, 6) AS mean_x FROM m WHERE sign(mean) <> CASE WHEN mesh_id % 2 = 0 THEN 1 ELSE -1 END""")
 def laterality_check(spark, sf):
-    v = vertices(spark, sf).filter("mesh_id % 10 <> 5")
-    w = boxes(spark, sf).filter("mesh_id % 10 <> 5").select("mesh_id", F.when(F.col("mesh_id") % 2 == 0, 1.0).otherwise(-1.0).alias("sign"))
-    return ms.laterality(v, w).select("mesh_id", F.round("mean_x", 6).alias("mean_x"))
+    w = boxes(spark, sf).select("mesh_id", F.when(F.col("mesh_id") % 2 == 0, 1.0).otherwise(-1.0).alias("sign"))
+    return ms.laterality(vertices(spark, sf), w).select("mesh_id", F.round("mean_x", 6).alias("mean_x"))
 
 
 @query(
     "WITH " + BOXES
-    + """ SELECT 'ids_differ' AS rule, CAST(mesh_id AS VARCHAR) AS row_id FROM box WHERE mesh_id % 10 NOT IN (3, 4, 5) AND mesh_id % 7 = 1 UNION ALL SELECT 'axis_share', CAST(mesh_id AS VARCHAR) FROM box WHERE mesh_id % 10 NOT IN (3, 4, 5) AND mesh_id % 7 = 2
-    UNION ALL SELECT 'area_ratio', CAST(mesh_id AS VARCHAR) FROM box WHERE mesh_id % 10 NOT IN (3, 4, 5) AND mesh_id % 7 = 2 AND (0.4 * sx * sy + 0.4 * sx * sz + sy * sz) / (sx * sy + sx * sz + sy * sz) < 0.75
-    UNION ALL SELECT 'published_differs', CAST(mesh_id AS VARCHAR) FROM box WHERE mesh_id % 10 NOT IN (3, 4, 5) AND mesh_id % 7 = 3"""
+    + """ SELECT 'ids_differ' AS rule, CAST(mesh_id AS VARCHAR) AS row_id FROM box WHERE mesh_id % 7 = 1 UNION ALL SELECT 'axis_share', CAST(mesh_id AS VARCHAR) FROM box WHERE mesh_id % 7 = 2
+    UNION ALL SELECT 'area_ratio', CAST(mesh_id AS VARCHAR) FROM box, (VALUES (1), (2)) f(faces) WHERE faces = CASE WHEN mesh_id % 10 = 3 THEN 1 ELSE 2 END AND mesh_id % 7 = 2 AND (0.8 * sx * sy + 0.8 * sx * sz + faces * sy * sz) / (2 * sx * sy + 2 * sx * sz + faces * sy * sz) < 0.75
+    UNION ALL SELECT 'published_differs', CAST(mesh_id AS VARCHAR) FROM box WHERE mesh_id % 7 = 3"""
 )
 def tier_quality(spark, sf):
     """A reduced tier against the full one, with a missing, a squeezed and a misreported mesh."""
-    v, t = closed(spark, sf)
+    v, t = surfaces(spark, sf)
     full = ms.surface_stats(v, t)
     k = F.col("mesh_id") % 7
     x0 = boxes(spark, sf).select("mesh_id", "x0")
@@ -263,18 +277,32 @@ def tier_quality(spark, sf):
     return ms.tier_problems(full, tier, pub).select("rule", "row_id")
 
 
-@query("WITH " + BOXES + " SELECT mesh_id, round(sqrt(0.25 + power((mesh_id % 4) * 0.5, 2)), 6) AS off_mm FROM box WHERE mesh_id % 10 NOT IN (3, 4, 5) AND mesh_id % 4 >= 2")
+@query("WITH " + BOXES + " SELECT mesh_id, round(sqrt(0.25 + power((mesh_id % 4) * 0.5, 2)), 6) AS off_mm, NULL AS reason FROM box WHERE mesh_id % 10 <> 3 AND mesh_id % 4 >= 2 UNION ALL SELECT mesh_id, NULL, 'open' FROM box WHERE mesh_id % 10 = 3")
 def anchor_points(spark, sf):
-    v, t = closed(spark, sf)
+    v, t, why = solid(spark, sf)
     c = ms.volumes(v, t)
     rec = boxes(spark, sf).select("mesh_id", (F.col("x0") + F.col("sx") / 2 + 0.5).alias("rx"), (F.col("y0") + F.col("sy") / 2 + (F.col("mesh_id") % 4) * 0.5).alias("ry"), (F.col("z0") + F.col("sz") / 2).alias("rz"))
-    return ms.anchor_problems(c, rec).select("mesh_id", F.round("off_mm", 6).alias("off_mm"))
+    return ms.anchor_problems(c, rec).select("mesh_id", F.round("off_mm", 6).alias("off_mm")).unionByName(why, allowMissingColumns=True)
+
 
+_CORNERS = ", ".join(f"({i}, {a}, {b}, {c})" for i, (a, b, c) in enumerate(BOX))
+_AT = lambda p, ax, bit: f"{ax}0 + s{ax} * ({p} // {bit} % 2)"
 
-@query("WITH " + BOXES + """ SELECT mesh_id, true AS sorted, true AS positive FROM box WHERE mesh_id % 10 NOT IN (3, 4, 5)""")
+
+@query(
+    "WITH " + BOXES
+    + f""", tri AS (SELECT mesh_id, tid, {', '.join(f'({_AT("a", ax, n)} + {_AT("b", ax, n)} + {_AT("c", ax, n)}) / 3 AS {ax}' for ax, n in (('x', 1), ('y', 2), ('z', 4)))},
+      CASE WHEN tid < 4 THEN sx * sy WHEN tid < 8 THEN sx * sz ELSE sy * sz END AS w FROM box, (VALUES {_CORNERS}) v(tid, a, b, c) WHERE NOT (mesh_id % 10 = 3 AND tid >= 10)),
+    m AS (SELECT mesh_id, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my, sum(w * z) / sum(w) AS mz, sum(w) AS w FROM tri GROUP BY mesh_id),
+    c AS (SELECT mesh_id, {', '.join(f'sum(tri.w * ({p} - m{p}) * ({q} - m{q})) / max(m.w) AS {p}{q}' for p, q in ('xx', 'xy', 'xz', 'yy', 'yz', 'zz'))} FROM tri JOIN m USING (mesh_id) GROUP BY mesh_id)
+    SELECT mesh_id, round(xx + yy + zz, 4) AS total, round(xx * xx + yy * yy + zz * zz + 2 * (xy * xy + xz * xz + yz * yz), 3) AS squares,
+      round(xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy * yz - yy * xz), 2) AS product, true AS sorted FROM c"""
+)
 def principal_axis_lengths(spark, sf):
-    e = ms.principal_axes(*closed(spark, sf))
-    return e.select("mesh_id", ((F.col("e0") >= F.col("e1")) & (F.col("e1") >= F.col("e2"))).alias("sorted"), (F.col("e2") > 0).alias("positive"))
+    """Lengths along the principal axes, by their sum, sum of squares and product, which SQL can tell from the matrix."""
+    e = ms.principal_axes(*surfaces(spark, sf))
+    a, b, c = F.col("e0"), F.col("e1"), F.col("e2")
+    return e.select("mesh_id", F.round(a + b + c, 4).alias("total"), F.round(a * a + b * b + c * c, 3).alias("squares"), F.round(a * b * c, 2).alias("product"), ((a >= b) & (b >= c)).alias("sorted"))
 
 
 # ---- voxels ---------------------------------------------------------------------------------
