@@ -35,7 +35,7 @@ def papers(spark, sf):
     names = F.transform(F.sequence(F.lit(1), F.greatest(k % 4, F.lit(1)).cast("int")), lambda i: F.concat(F.lit("Author"), s(i), F.lit(" "), F.upper("lang")))
     return d.select(
         paper_id(k).alias("paper_id"),
-        F.substring_index("text", "\n", 1).alias("title"),
+        F.col("text").alias("title"),
         F.when(k % 53 == 2, F.array().cast("array<string>")).otherwise(names).alias("authors"),
         F.when(k % 61 == 3, 1200).otherwise((1950 + k % 75)).cast("int").alias("year"),
         F.concat(F.lit("Journal "), "source").alias("venue"),
@@ -55,7 +55,7 @@ def paper_id(k):
     return F.when(k % 97 == 1, F.concat(F.lit("Paper:D"), k.cast("string"))).otherwise(F.concat(F.lit("paper:d"), k.cast("string")))
 
 
-PAPERS_SQL = """papers AS (SELECT doc_id AS k, CASE WHEN doc_id % 97 = 1 THEN 'Paper:D' ELSE 'paper:d' END || doc_id AS paper_id, split_part(text, chr(10), 1) AS title, lang, source,
+PAPERS_SQL = """papers AS (SELECT doc_id AS k, CASE WHEN doc_id % 97 = 1 THEN 'Paper:D' ELSE 'paper:d' END || doc_id AS paper_id, text AS title, lang, source,
   CAST(CASE WHEN doc_id % 61 = 3 THEN 1200 ELSE 1950 + doc_id % 75 END AS INT) AS year, 'Journal ' || source AS venue,
   CASE WHEN doc_id % 53 = 2 THEN CAST([] AS VARCHAR[]) ELSE list_transform(range(1, greatest(doc_id % 4, 1) + 1), lambda i: 'Author' || i || ' ' || upper(lang)) END AS authors,
   ['doi','pmid','pmcid','isbn','url','none'][CAST(doc_id % 6 + 1 AS INT)] AS id_kind,

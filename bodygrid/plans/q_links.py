@@ -1,5 +1,7 @@
 """Entity linking: parts as structures of several representations, mappings as terms."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from bodygrid.functions import points as pt
@@ -90,7 +92,15 @@ tr AS (SELECT term, 'not-in-representation' AS code, term || ' is not in rep-0 v
   UNION ALL SELECT term, 'not-in-representation', coalesce(why, '') FROM rst WHERE completeness = 'none'
   UNION ALL SELECT term, CASE WHEN held_targets IS NOT NULL THEN 'structure-held' ELSE 'representation-absent' END, CASE WHEN held_targets IS NOT NULL THEN held_targets || ': ' || because ELSE absent END
     FROM (SELECT DISTINCT term FROM rst JOIN tg USING (term) WHERE completeness <> 'none') LEFT JOIN hh USING (term) LEFT JOIN ab USING (term) WHERE term NOT IN (SELECT term FROM shp) AND (held_targets IS NOT NULL OR absent IS NOT NULL))"""
+def _materialised(sql: str, *names: str) -> str:
+    """The statement with each named part evaluated once; DuckDB otherwise inlines them wherever they are used."""
+    for n in names:
+        sql = re.sub(rf"(?<!\w){n} AS \(", f"{n} AS MATERIALIZED (", sql, count=1)
+    return sql
+
+
 BASE = ctes(T.LINEITEM_CELLS_SQL, qp.FINDINGS_SQL, qp.MAPPINGS_SQL, LINK_SQL).rstrip() + TERMS
+BASE = _materialised(BASE, "findings", "mappings", "mm", "term", "idn", "rst", "shp", "tl", "tr")
 
 
 @query(
@@ -152,6 +162,7 @@ def points_to_place(spark, sf):
 
 IDX = BASE + """, lk AS (SELECT mm.*, tl.* EXCLUDE (term) FROM mm JOIN tl USING (term)), rs AS (SELECT mm.mapping_id, mm.paper_id, code, detail FROM mm JOIN tr USING (term)),
 pr AS (SELECT paper_id, representation || '/' || structure_id AS region_key, count(*) AS links, bool_or(how = 'exact-term') AS exact FROM lk GROUP BY ALL), """ + qp.PAPERS_SQL
+IDX = _materialised(IDX, "lk", "rs", "pr", "papers")
 
 
 def index(spark, sf):
@@ -185,9 +196,9 @@ def link_coverage(spark, sf):
 
 @query(
     IDX
-    + """, inv AS (SELECT * FROM pr WHERE links <> 3) SELECT 'mapping_vanished' AS rule, mapping_id AS row_id, '' AS message FROM mm WHERE mapping_id NOT IN (SELECT mapping_id FROM lk) AND mapping_id NOT IN (SELECT mapping_id FROM rs)
+    + """, inv AS (SELECT * FROM pr WHERE links <> 3) SELECT 'mapping_vanished' AS rule, mapping_id AS row_id, '' AS message FROM mm ANTI JOIN lk USING (mapping_id) ANTI JOIN rs USING (mapping_id)
     UNION ALL SELECT 'crosswalk_not_approximate', mapping_id, '' FROM lk WHERE how = 'crosswalk' AND coalesce(why, '') = ''
-    UNION ALL SELECT 'paper_without_region_or_reason', paper_id, '' FROM papers WHERE paper_id NOT IN (SELECT paper_id FROM pr) AND paper_id NOT IN (SELECT paper_id FROM rs)
+    UNION ALL SELECT 'paper_without_region_or_reason', paper_id, '' FROM papers ANTI JOIN pr USING (paper_id) ANTI JOIN rs USING (paper_id)
     UNION ALL SELECT 'forward_not_inverted', paper_id || ' ' || region_key, '3' FROM pr WHERE links = 3"""
 )
 def region_index_invariants(spark, sf):
@@ -210,17 +221,19 @@ def described_links(spark, sf):
 @query(
     IDX
     + """, pg AS (SELECT region_key, paper_id, links, (SELECT bool_or("precision" = 'exact') FROM lk WHERE lk.paper_id = pr.paper_id AND lk.representation || '/' || lk.structure_id = pr.region_key) AS ex FROM pr)
-    SELECT region_key, '{"kind":"region","region_key":"' || region_key || '","papers":[' || string_agg('{"paper_id":"' || paper_id || '","links":' || links || ',"exact":' || ex || '}', ',' ORDER BY paper_id) || ']}' AS body FROM pg GROUP BY region_key"""
+    , n AS (SELECT region_key, CAST(ceil(count(*) / 1000.0) AS INT) AS pages FROM pg GROUP BY region_key), pp AS (SELECT pg.*, CAST(CAST('0x' || substr(md5(paper_id), 1, 8) AS BIGINT) % pages AS INT) AS page FROM pg JOIN n USING (region_key))
+    SELECT region_key, page, '{"kind":"region","region_key":"' || region_key || '","papers":[' || string_agg('{"paper_id":"' || paper_id || '","links":' || links || ',"exact":' || ex || '}', ',' ORDER BY paper_id) || ']}' AS body FROM pp GROUP BY region_key, page"""
 )
 def region_documents(spark, sf):
-    """Query answers as documents; large regions are paged (one page each at this size)."""
+    """Query answers as documents; large regions are paged."""
     return xw.region_pages(links(spark, sf)).select("region_key", "page", "body")
 
 
 @query(
     IDX
-    + """ SELECT 'regions/' || region_key || '.json' AS href, unnest(CASE WHEN length(region_key) % 5 = 0 THEN ['unknown_field:extra'] WHEN length(region_key) % 5 = 1 THEN ['missing_field:papers'] WHEN length(region_key) % 5 = 2 THEN ['unknown_kind'] ELSE [] END) AS problem
-    FROM (SELECT DISTINCT region_key FROM pr)"""
+    + """, n AS (SELECT region_key, CAST(ceil(count(*) / 1000.0) AS INT) AS pages FROM pr GROUP BY region_key)
+    SELECT 'regions/' || region_key || '/' || page || '.json' AS href, unnest(CASE WHEN length(region_key) % 5 = 0 THEN ['unknown_field:extra'] WHEN length(region_key) % 5 = 1 THEN ['missing_field:papers'] WHEN length(region_key) % 5 = 2 THEN ['unknown_kind'] ELSE [] END) AS problem
+    FROM (SELECT DISTINCT region_key, CAST(CAST('0x' || substr(md5(paper_id), 1, 8) AS BIGINT) % pages AS INT) AS page FROM pr JOIN n USING (region_key))"""
 )
 def document_validation(spark, sf):
     """Documents against their field lists; unknown and missing fields are errors."""
@@ -232,7 +245,7 @@ def document_validation(spark, sf):
         .when(n == 2, F.replace("body", F.lit('"kind":"region"'), F.lit('"kind":"regoin"')))
         .otherwise(F.col("body"))
     )
-    docs = d.select(F.concat(F.lit("regions/"), "region_key", F.lit(".json")).alias("href"), body.alias("body"))
+    docs = d.select(F.concat(F.lit("regions/"), "region_key", F.lit("/"), "page", F.lit(".json")).alias("href"), body.alias("body"))
     return xw.document_problems(docs, {"region": ["kind", "region_key", "papers"], "paper": ["kind", "paper_id", "regions"]})
 
 
