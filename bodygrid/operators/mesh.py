@@ -401,6 +401,59 @@ def origin_summary(scored: DataFrame) -> DataFrame:
     return g.withColumn("verdict", F.when(C("structures") == 0, "vacuous").when(ok, "pass").otherwise("fail"))
 
 
+def nearest_other(points: DataFrame, targets: DataFrame, radius: float, max_rounds: int = 30) -> DataFrame:
+    """(mesh_id, other, distance): for each point the nearest target of another name; none if there is no other.
+
+    As for surfaces, a round proves distances up to its grid's edge, and only unproven points go on with a grid twice as wide.
+    """
+    left, done, r = points.select("mesh_id", "x", "y", "z"), None, float(radius)
+    t = cut_lineage(targets.select(C("mesh_id").alias("other"), *[C(ax).alias(f"t{ax}") for ax in "xyz"]))
+    for _ in range(max_rounds):
+        g, p = t, left
+        for ax in "xyz":
+            g = g.withColumn(f"_g{ax}", F.explode(F.sequence(F.floor(C(f"t{ax}") / r) - 1, F.floor(C(f"t{ax}") / r) + 1)))
+            p = p.withColumn(f"_g{ax}", F.floor(C(ax) / r))
+        d = F.sqrt(sum(((C(ax) - C(f"t{ax}")) * (C(ax) - C(f"t{ax}")) for ax in "yz"), (C("x") - C("tx")) * (C("x") - C("tx"))))
+        near = p.join(g, ["_gx", "_gy", "_gz"]).filter("other <> mesh_id").withColumn("d", d).filter(C("d") <= r)
+        best = cut_lineage(near.groupBy("mesh_id").agg(F.min(F.struct("d", "other")).alias("m")).select("mesh_id", "m.other", C("m.d").alias("distance")))
+        done = best if done is None else done.unionByName(best)
+        left = cut_lineage(left.join(best, "mesh_id", "left_anti"))
+        if left.isEmpty():
+            break
+        r *= 2
+    return done
+
+
+def origin_scores(vertices: DataFrame, triangles: DataFrame, ref_vertices: DataFrame, ref_triangles: DataFrame, radius: float) -> DataFrame:
+    """Each surface against the reference of its name, and as negative control against the nearest reference of another name.
+
+    (mesh_id, against, and own_ and other_ mean, p95, agreement): the symmetric mean of both one-sided vertex distances, the p95
+    from the surface to the reference, and the share of vertices whose nearest reference, of all, is this one. A surface without
+    reference of its name has no own figures; vertices that no triangle uses are left out.
+    """
+    v, rv = drawn(vertices, triangles), drawn(ref_vertices, ref_triangles)
+    center = lambda d: d.groupBy("mesh_id").agg(*[F.avg(ax).alias(ax) for ax in "xyz"])
+    control = nearest_other(center(v), center(rv), radius * 4)
+    own = v.select("mesh_id").distinct().join(rv.select("mesh_id").distinct(), "mesh_id").select("mesh_id", C("mesh_id").alias("ref"), F.lit("own").alias("role"))
+    pairs = cut_lineage(own.unionByName(control.select("mesh_id", C("other").alias("ref"), F.lit("other").alias("role"))).withColumn("pair", F.concat_ws("/", "mesh_id", "role")))
+
+    def of(d, key):  # a table of one side, once for each pair that it is in
+        return d.withColumnRenamed("mesh_id", key).join(pairs.select(key, "pair") if key == "ref" else pairs.select(C("mesh_id").alias(key), "pair"), key).drop(key).withColumnRenamed("pair", "mesh_id")
+
+    pts = lambda d: d.select(F.concat_ws("/", "mesh_id", "vid").alias("point_id"), "mesh_id", "x", "y", "z")
+    there = one_sided_distance(pts(of(v, "own")), of(rv, "ref"), of(ref_triangles, "ref"), radius)
+    back = one_sided_distance(pts(of(rv, "ref")), of(v, "own"), of(triangles, "own"), radius)
+    nearest = nearest_surface(v.select(F.concat_ws("/", "mesh_id", "vid").alias("point_id"), "x", "y", "z"), rv, ref_triangles, radius)
+    label = nearest.join(v.select(F.concat_ws("/", "mesh_id", "vid").alias("point_id"), C("mesh_id").alias("of")), "point_id").groupBy("of", C("mesh_id").alias("ref")).agg(F.count(F.lit(1)).alias("hits"))
+    b = back.select("mesh_id", C("mean_mm").alias("back"), C("n").alias("n_back"))
+    d = there.join(b, "mesh_id").join(pairs.withColumnRenamed("mesh_id", "of"), there["mesh_id"] == C("pair")).join(label, ["of", "ref"], "left")
+    d = d.select(
+        "of", "ref", "role", ((C("mean_mm") * C("n") + C("back") * C("n_back")) / (C("n") + C("n_back"))).alias("mean"), C("p95_mm").alias("p95"), (F.coalesce("hits", F.lit(0)) / C("n")).alias("agreement")
+    )
+    side = lambda r, n: F.max(F.when(C("role") == r, C(n)))
+    return d.groupBy(C("of").alias("mesh_id")).agg(side("other", "ref").alias("against"), *[side(r, n).alias(f"{r}_{n}") for r in ("own", "other") for n in ("mean", "p95", "agreement")])
+
+
 def origin_verdict(scores: DataFrame) -> DataFrame:
     """Own match against nearest-other control per structure, and the share of controls that pass.
 

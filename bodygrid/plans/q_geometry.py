@@ -396,13 +396,34 @@ def exact_quantiles(spark, sf):
     return ms.exact_quantile(e, "label", "v", 0.95).select("label", F.round("quantile", 6).alias("quantile"))
 
 
+# ---- origin of surfaces -------------------------------------------------------------------------
+
+MOVED = f"""src AS (SELECT s_suppkey AS of, CASE WHEN s_suppkey % 9 = 8 THEN s_suppkey - 1 ELSE s_suppkey END AS mesh_id, s_suppkey % 6 * 0.9 + 0.05 AS mv FROM supplier),
+cb AS (SELECT of, x0 + mv AS x0, y0 + 0.137 AS y0, z0 + 0.291 AS z0, sx, sy, sz, mesh_id AS from_id FROM src JOIN box USING (mesh_id)),
+cv AS (SELECT of, i, x0 + sx * (i % 2) AS x, y0 + sy * (i // 2 % 2) AS y, z0 + sz * (i // 4) AS z FROM cb, (SELECT unnest(range(8)) AS i)),
+rv AS (SELECT mesh_id AS ref, i, x0 + sx * (i % 2) AS x, y0 + sy * (i // 2 % 2) AS y, z0 + sz * (i // 4) AS z FROM box, (SELECT unnest(range(8)) AS i)),
+ctl AS (SELECT c.of, arg_min(b.mesh_id, power(c.x0 + c.sx / 2 - b.x0 - b.sx / 2, 2) + power(c.y0 + c.sy / 2 - b.y0 - b.sy / 2, 2) + power(c.z0 + c.sz / 2 - b.z0 - b.sz / 2, 2)) AS ref FROM cb c JOIN box b ON b.mesh_id <> c.of GROUP BY c.of),
+prs AS (SELECT of, of AS ref, 'own' AS role FROM cb UNION ALL SELECT of, ref, 'other' FROM ctl),
+fw AS (SELECT prs.of, role, {SURFACE} AS d FROM prs JOIN cv ON cv.of = prs.of JOIN box ON box.mesh_id = prs.ref),
+fs AS (SELECT of, role, sum(d) AS s, count(*) AS n, list(d ORDER BY d)[CAST(floor(count(*) * 0.95) + 1 AS INT)] AS p95 FROM fw GROUP BY ALL),
+bk AS (SELECT prs.of, role, {SURFACE.replace("mesh_id", "from_id")} AS d FROM prs JOIN rv ON rv.ref = prs.ref JOIN cb ON cb.of = prs.of),
+bs AS (SELECT of, role, sum(d) AS s, count(*) AS n FROM bk GROUP BY ALL),
+nr AS (SELECT of, i, arg_min(mesh_id, {SURFACE}) AS ref FROM cv, box GROUP BY ALL), lb AS (SELECT of, ref, count(*) AS hits FROM nr GROUP BY ALL),
+sc AS (SELECT prs.of, prs.ref, prs.role, (fs.s + bs.s) / (fs.n + bs.n) AS mean, p95, coalesce(hits, 0) / fs.n AS agreement FROM prs JOIN fs USING (of, role) JOIN bs USING (of, role) LEFT JOIN lb ON lb.of = prs.of AND lb.ref = prs.ref)"""
+
+
 @query(
-    """SELECT s_suppkey AS name, s_suppkey % 6 <= 1 AS matched, (s_suppkey % 9) = 8 AND false AS control_passes FROM supplier"""
+    ctes(BOXES, MOVED)
+    + """SELECT o.of AS name, c.ref AS against, round(o.mean, 6) AS own_mean, round(o.p95, 6) AS own_p95, round(o.agreement, 6) AS own_agreement, round(c.mean, 6) AS other_mean, round(c.p95, 6) AS other_p95, round(c.agreement, 6) AS other_agreement,
+      o.mean <= 1.5 AND o.p95 <= 3 AND o.agreement >= 0.9 AS matched, c.mean <= 1.5 AND c.p95 <= 3 AND c.agreement >= 0.9 AS control_passes FROM sc o JOIN sc c ON o.of = c.of AND o.role = 'own' AND c.role = 'other'"""
 )
 def origin_matches(spark, sf):
-    k = F.col("s_suppkey")
-    s = T.table(spark, sf, "supplier").select(
-        k.alias("name"), (k % 6 * 0.9).alias("own_mean"), (k % 6 * 2.0).alias("own_p95"), F.lit(0.95).alias("own_agreement"),
-        (k % 9 * 0.2).alias("other_mean"), (k % 9 * 0.3).alias("other_p95"), (k % 9 * 0.115).alias("other_agreement"),
-    )
-    return ms.origin_verdict(s).select("name", "matched", "control_passes")
+    """Moved surfaces against references by name and, as control, against the nearest other; one in nine is really its neighbour."""
+    rv, rt = surfaces(spark, sf)
+    k = T.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("of"))
+    src = k.select("of", F.when(F.col("of") % 9 == 8, F.col("of") - 1).otherwise(F.col("of")).alias("mesh_id"))
+    t = rt.join(src, "mesh_id").drop("mesh_id").withColumnRenamed("of", "mesh_id")
+    v = rv.join(src, "mesh_id").select(F.col("of").alias("mesh_id"), "vid", (F.col("x") + F.col("of") % 6 * 0.9 + 0.05).alias("x"), (F.col("y") + 0.137).alias("y"), (F.col("z") + 0.291).alias("z"))
+    s = ms.origin_verdict(ms.origin_scores(v, t, rv, rt, 4.0))
+    figures = [F.round(f"{r}_{n}", 6).alias(f"{r}_{n}") for r in ("own", "other") for n in ("mean", "p95", "agreement")]
+    return s.select(F.col("mesh_id").alias("name"), "against", *figures, "matched", "control_passes")

@@ -91,19 +91,6 @@ def normalized_coverings(spark, sf):
     return cv.normalize(supplier_cells(spark, sf), ["covering_id"]).select("covering_id", text().alias("cell"))
 
 
-@query(
-    ctes(LI, "kids AS (SELECT DISTINCT left(cell, 5) AS stem, cell FROM lineitem_cells WHERE cell LIKE 'BV%')",
-         "filled AS (SELECT cell AS covering_id, unnest(list_transform(range(0, 8), lambda i: cell || i)) AS cell FROM kids UNION ALL SELECT cell, cell || '01' FROM kids)")
-    + "SELECT DISTINCT covering_id, covering_id AS cell FROM filled"
-)
-def complete_siblings_roll_up(spark, sf):
-    """All eight children of every cell, plus a nested one, come back as that one cell."""
-    c = T.lineitem_cells(spark, sf).filter(F.startswith("cell", F.lit("BV"))).select("cell", "cell_key").distinct()
-    kids = c.select(F.col("cell").alias("covering_id"), F.explode(rf.child_keys(F.col("cell_key"))).alias("cell_key"))
-    extra = ad.with_key(c.select(F.col("cell").alias("covering_id"), F.concat("cell", F.lit("01")).alias("cell"))).drop("cell")
-    return cv.normalize(kids.unionByName(extra), ["covering_id"]).select("covering_id", text().alias("cell"))
-
-
 NATION_SUP = """nat AS (SELECT s_nationkey AS covering_id, cell FROM lineitem_cells JOIN supplier ON s_suppkey = l_suppkey)"""
 
 
@@ -198,7 +185,22 @@ KIDS = """CASE WHEN cell LIKE 'BR%' THEN list_transform(range(0, 16), lambda i:
   WHEN length(cell) = 6 AND cell LIKE 'BD%' THEN list_transform(range(0, 24), lambda i: cell || '-' || lpad(CAST(i // 2 + 1 AS VARCHAR), 2, '0') || CASE WHEN i % 2 = 0 THEN 'I' ELSE 'O' END)
   WHEN regexp_full_match(cell, 'B.-[LR]|BD-...-...') THEN list_transform(range(0, 8), lambda i: cell || '-' || i)
   ELSE list_transform(range(0, 8), lambda i: cell || i) END"""
-ATOMS = f"""sel AS (SELECT DISTINCT s_nationkey AS g, s_suppkey AS owner, cell FROM lineitem_cells JOIN supplier ON s_suppkey = l_suppkey),
+
+
+@query(
+    ctes(LI, "every AS (SELECT DISTINCT cell AS covering_id, cell FROM lineitem_cells)", f"kids AS (SELECT covering_id, unnest({KIDS}) AS cell FROM every)",
+         "one AS (SELECT covering_id, min(cell) AS cell FROM kids GROUP BY ALL)", f"filled AS (SELECT * FROM kids UNION ALL SELECT covering_id, ({KIDS})[2] FROM one)")
+    + "SELECT DISTINCT covering_id, covering_id AS cell FROM filled"
+)
+def complete_siblings_roll_up(spark, sf):
+    """All children of every cell of every frame, plus one nested in the first of them, come back as that one cell."""
+    c = T.lineitem_cells(spark, sf).select("cell", "cell_key").distinct()
+    kids = c.select(F.col("cell").alias("covering_id"), rf.child_keys(F.col("cell_key")).alias("kids"))
+    nested = kids.select("covering_id", F.get(rf.child_keys(F.get("kids", F.lit(0))), F.lit(1)).alias("cell_key"))
+    return cv.normalize(kids.select("covering_id", F.explode("kids").alias("cell_key")).unionByName(nested), ["covering_id"]).select("covering_id", text().alias("cell"))
+
+
+ATOMS = f"""sel AS (SELECT DISTINCT s_nationkey AS g, CAST(s_suppkey AS VARCHAR) AS owner, cell FROM lineitem_cells JOIN supplier ON s_suppkey = l_suppkey),
 mem AS (SELECT DISTINCT g, cell FROM sel),
 anc AS (SELECT DISTINCT g, unnest(list_transform(range(CASE WHEN cell LIKE 'BV%' THEN 4 ELSE 6 END, length(cell)), lambda k: left(cell, k))) AS cell FROM mem),
 opened AS (SELECT a.* FROM anc a WHERE a.cell NOT LIKE '%-' AND NOT regexp_full_match(a.cell, 'BD-...-..?')
@@ -229,6 +231,23 @@ def owner_set_layers(spark, sf):
     return rf.owner_layers(selections(spark, sf), "owner", "g").select("g", "owners", "owner_count", text().alias("cell"))
 
 
+@query(
+    ctes(LI, ATOMS) + """, st AS (SELECT g, owners, owner_count, count(*) AS atoms FROM own GROUP BY ALL)
+    SELECT g, owners, owner_count, unnest(string_split(owners, ',')) AS owner, NULL AS problem FROM st
+    UNION ALL SELECT s_nationkey, NULL, NULL, CAST(s_suppkey AS VARCHAR), 'no geometry' FROM supplier WHERE NOT EXISTS (SELECT 1 FROM sel WHERE g = s_nationkey AND owner = CAST(s_suppkey AS VARCHAR))"""
+)
+def owner_set_members(spark, sf):
+    """Members of each distinct owner set, once a set, and selected suppliers that have no cells."""
+    c = selections(spark, sf)
+    layers, sets = rf.owner_sets(c, "owner", "g")
+    size = layers.select("g", "set_id", "owner_count").distinct()
+    names = sets.groupBy("g", "set_id").agg(F.array_join(F.array_sort(F.collect_set("owner")), ",").alias("owners"))
+    told = sets.join(size, ["g", "set_id"]).join(names, ["g", "set_id"]).select("g", "owners", "owner_count", "owner")
+    every = T.table(spark, sf, "supplier").select(F.col("s_nationkey").alias("g"), F.col("s_suppkey").cast("string").alias("owner"))
+    none = rf.without_geometry(every, c, ["g", "owner"]).withColumn("problem", F.lit("no geometry"))
+    return told.unionByName(none, allowMissingColumns=True)
+
+
 @query(ctes(LI, ATOMS, "many AS (SELECT g, cell FROM own WHERE owner_count > 1)", normalize_sql("many", "g", "hx")) + "SELECT g, cell FROM hx")
 def shared_extents(spark, sf):
     """Everything two or more members of a selection occupy."""
