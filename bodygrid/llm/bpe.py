@@ -1,9 +1,11 @@
 """Byte-level BPE by higher-order functions over a literal rank map.
 
-A text is cut by the vocabulary's pattern. A piece is its bytes, written as Latin-1 characters, and merges are folded over them:
-in each round of the fold the neighbours of the least rank become one. Ranks are looked up in a literal, one small map for each
-of 2^16 hash places. The most frequent pieces of the corpus, a bounded number, are encoded once and then looked up whole; all
-others are folded where they stand. Ids are the ranks. Decoding looks up the bytes of each id and concatenates them.
+A text is cut by the vocabulary's pattern. The bytes of a piece are written as a string of one character per token, and merges are
+folded over it: in each round the neighbours of the least rank become one. The rank of a pair is the id of the merged token, so
+the ranks of all neighbours are a string too, whose least character is the next token. Ranks are looked up in a literal map of
+pairs, one short string for each of 2^16 hash places. The most frequent distinct pieces of the corpus, a bounded number, are encoded
+once and then looked up whole, as are pieces that are tokens; all others are folded where they stand. Decoding looks up the
+bytes of each id and concatenates them.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from bodygrid.functions.once import once
 from bodygrid.llm.common import stored
+from bodygrid.llm.spans import bound
 
 #: Places of the literal maps.
 PLACES = 1 << 16
@@ -25,10 +28,13 @@ REMEMBERED = 1 << 17
 LONGEST_REMEMBERED = 32
 #: Pieces of more bytes merge all equal neighbours in a round, so that rounds are few.
 SHORT = 64
+#: Characters for what is beside a piece, and for the rank of a pair that is no token; tokens are written as characters between.
+EDGE, NONE = "\x01", "\U0010ffff"
+#: Marks before a key and before its value in the literals.
+START, END = "\x02", "\x03"
+FIRST, SURROGATES, N_SURROGATES = 0x100, 0xD800, 0x800
 #: White space of the vocabulary's pattern, which is that of Unicode.
 BLANK = r"\t-\r\x20\x85\xA0  -     　"
-#: Marks around a token while long pieces are merged; no byte is written as one of them.
-OPEN, CLOSE = "Ā", "ā"
 
 
 def java_pattern(pattern: str) -> str:
@@ -41,120 +47,120 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def sign(token: int) -> str:
+    """The character of a token; their order is that of the ids."""
+    c = token + FIRST
+    return chr(c if c < SURROGATES else c + N_SURROGATES)
+
+
+def _pairs(vocabulary: dict[bytes, int]) -> dict[str, str]:
+    """The merged token of each pair of tokens that has one."""
+    return {sign(vocabulary[w[:i]]) + sign(vocabulary[w[i:]]): sign(t) for w, t in vocabulary.items() for i in range(1, len(w)) if w[:i] in vocabulary and w[i:] in vocabulary}
+
+
 def _place(s: Column) -> Column:
     return F.pmod(F.crc32(F.encode(s, "UTF-8")), F.lit(PLACES)).cast("int")
 
 
-def _literal(entries: dict, kind: str) -> Column:
-    """``entries`` as a constant: at each place a map of the keys that are hashed to it."""
-    maps: list[dict] = [{} for _ in range(PLACES)]
+def _literal(entries: dict[str, str], end: str = "") -> Column:
+    """``entries`` as a constant: at each place one string of the keys that are hashed to it, each with ``end`` and its value."""
+    texts = [""] * PLACES
     for k, v in entries.items():
-        maps[zlib.crc32(k.encode()) % PLACES][k] = v
-    return F.from_json(F.lit(json.dumps(maps, ensure_ascii=False, separators=(",", ":"))), f"array<map<string,{kind}>>")
-
-
-def _of(value: Column, f) -> Column:
-    """``f`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
+        texts[zlib.crc32(k.encode()) % PLACES] += START + k + end + v
+    return F.from_json(F.lit(json.dumps(texts, ensure_ascii=False)), "array<string>")
 
 
 class Merges:
-    """Merges by a rank map, as expressions. ``table`` is a lambda variable, so that the constant stands in a plan only once."""
+    """Merges of one vocabulary, as expressions. ``pairs`` is a lambda variable, so that the constant stands in a plan only once."""
 
-    def __init__(self, table: Column):
-        self.table = table
+    def __init__(self, pairs: Column, singles: str):
+        self.pairs, self.singles = pairs, singles
 
-    def rank(self, s: Column) -> Column:
-        """Rank of bytes, null if they are no token."""
-        return F.get(self.table, _place(s))[s]
+    def rank(self, two: Column) -> Column:
+        found = F.substr(F.split_part(F.get(self.pairs, _place(two)), F.concat(F.lit(START), two), F.lit(2)), F.lit(1), F.lit(1))
+        return F.when(found == "", NONE).otherwise(found)
 
-    def _ranks(self, parts: Column) -> Column:
-        """Ranks of each part with the one after it; null for the last."""
-        return F.zip_with(parts, F.slice(parts, F.lit(2), F.size(parts)), lambda a, b: self.rank(F.concat(a, b)))
+    def ranks(self, s: Column) -> Column:
+        """Characters of the ranks of each token with the one after it."""
+        signs = F.split(s, "")
+        return F.array_join(F.zip_with(signs, F.slice(signs, F.lit(2), F.size(signs)), lambda a, b: F.when(b.isNotNull(), self.rank(F.concat(a, b)))), "")
 
-    def _folded(self, bytes_: Column) -> Column:
+    def start(self, bytes_: Column) -> Column:
+        """Single-byte tokens of bytes, which are written as Latin-1."""
+        return F.concat(F.lit(EDGE), F.translate(bytes_, "".join(map(chr, range(256))), self.singles), F.lit(EDGE))
+
+    def folded(self, bytes_: Column) -> Column:
         """Tokens of a short piece: the leftmost neighbours of least rank are merged until there are none."""
 
         def step(a, _):
-            parts, rank = a["parts"], a["ranks"]
-            n = F.size(parts)
-
-            def merged(i):
-                one = F.concat(F.get(parts, i - 1), F.get(parts, i))
-                before = F.when(i > 1, F.concat(F.slice(rank, F.lit(1), i - 2), F.array(self.rank(F.concat(F.get(parts, i - 2), F.get(parts, i - 1), F.get(parts, i)))))).otherwise(F.array().cast("array<int>"))
-                after = F.array(self.rank(F.concat(F.get(parts, i - 1), F.get(parts, i), F.get(parts, i + 1))))
-                return F.struct(
-                    F.concat(F.slice(parts, F.lit(1), i - 1), F.array(one), F.slice(parts, i + 2, n)).alias("parts"),
-                    F.concat(before, after, F.slice(rank, i + 2, n)).alias("ranks"),
-                )
+            s, ranks = a["s"], a["ranks"]
 
-            least = F.array_min(rank)
-            return F.when(least.isNull(), a).otherwise(_of(F.array_position(rank, least).cast("int"), merged))
+            def merged(m, k):
+                beside = F.concat(self.rank(F.concat(F.substr(s, k - 1, F.lit(1)), m)), self.rank(F.concat(m, F.substr(s, k + 2, F.lit(1)))))
+                return F.struct(F.overlay(s, m, k, F.lit(2)).alias("s"), F.overlay(ranks, beside, k - 1, F.lit(3)).alias("ranks"))
 
-        def from_parts(parts):
-            start = F.struct(parts.alias("parts"), self._ranks(parts).alias("ranks"))
-            return F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), start, step, lambda a: a["parts"])
+            least = F.array_min(F.split(ranks, ""))
+            return bound(least, lambda m: F.when(m == NONE, a).otherwise(bound(F.position(m, ranks), lambda k: merged(m, k))))
 
-        return _of(F.split(bytes_, ""), from_parts)
+        start = lambda s: F.struct(s.alias("s"), self.ranks(s).alias("ranks"))
+        rounds = F.sequence(F.lit(2), F.greatest(F.char_length(bytes_), F.lit(2)))
+        return F.aggregate(rounds, bound(self.start(bytes_), start), step, lambda a: a["s"])
 
-    def _swept(self, bytes_: Column) -> Column:
+    def swept(self, bytes_: Column) -> Column:
         """Tokens of a long piece: a round merges all neighbours of the least rank at once where that is the same as one by one.
 
         It is the same unless neighbours of that rank differ, or a merged pair has a lower rank with what was next to it.
         """
 
-        def written(parts):
-            return F.concat(F.lit(OPEN), F.array_join(parts, CLOSE + OPEN), F.lit(CLOSE))
-
-        def split(s):
-            return F.split(F.substr(s, F.lit(2), F.char_length(s) - 2), CLOSE + OPEN)
-
-        def look(s):  # the parts go once nothing can be merged: a fold copies its state in every round
-            def at(parts):
-                return _of(self._ranks(parts), lambda q: chosen(parts, q))
-
-            def chosen(parts, q):
-                def facts(i):
-                    left, right, least = F.get(parts, i - 1), F.get(parts, i), F.array_min(q)
-                    same = ~F.exists(F.zip_with(parts, q, lambda x, r: r.eqNullSafe(least) & (x != left)), lambda x: x)
-                    return F.struct(s.alias("s"), F.when(least.isNotNull(), parts).alias("parts"), i.alias("i"), least.alias("least"), left.alias("left"), right.alias("right"), same.alias("same"))
-
-                return _of(F.array_position(q, F.array_min(q)).cast("int"), facts)
-
-            return _of(split(s), at)
+        def look(s):
+            state = lambda s, r: F.struct(s.alias("s"), r.alias("ranks"), F.array_min(F.split(r, "")).alias("least"))
+            return bound(s, lambda x: bound(self.ranks(x), lambda r: state(x, r)))
 
         def step(a, _):
-            one = F.concat(a["left"], a["right"])
-            swept = F.replace(a["s"], F.concat(F.lit(OPEN), a["left"], F.lit(CLOSE + OPEN), a["right"], F.lit(CLOSE)), F.concat(F.lit(OPEN), one, F.lit(CLOSE)))
-            single = written(F.concat(F.slice(a["parts"], F.lit(1), a["i"] - 1), F.array(one), F.slice(a["parts"], a["i"] + 2, F.size(a["parts"]))))
-            same = a["same"] & (F.coalesce(self.rank(F.concat(one, a["left"])), a["least"]) >= a["least"])
-            return F.when(a["least"].isNull(), a).otherwise(
-                F.when(same, _of(look(swept), lambda c: F.when(F.coalesce(c["least"], a["least"]) >= a["least"], c).otherwise(look(single)))).otherwise(look(single))
-            )
+            s, ranks, m = a["s"], a["ranks"], a["least"]
+
+            def at(k):
+                left = F.substr(s, k, F.lit(1))
+                others = F.exists(F.zip_with(F.split(s, ""), F.split(ranks, ""), lambda x, r: (r == m) & (x != left)), lambda x: x)
+                swept, single = F.replace(s, F.substr(s, k, F.lit(2)), m), F.overlay(s, m, k, F.lit(2))
+                one_by_one = F.coalesce(others, F.lit(False)) | (self.rank(F.concat(m, left)) < m)
+                return F.when(one_by_one, look(single)).otherwise(bound(look(swept), lambda c: F.when(c["least"] >= m, c).otherwise(look(single))))
 
-        def from_parts(parts):
-            return F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), look(written(parts)), step, lambda a: split(a["s"]))
+            return F.when(m == NONE, a).otherwise(bound(F.position(m, ranks), at))
 
-        return _of(F.split(bytes_, ""), from_parts)
+        rounds = F.sequence(F.lit(2), F.greatest(F.char_length(bytes_), F.lit(2)))
+        return F.aggregate(rounds, look(self.start(bytes_)), step, lambda a: a["s"])
 
     def ids(self, piece: Column) -> Column:
         """Ids of a piece, joined by blanks."""
 
+        def number(x):
+            c = F.ascii(x)
+            return (F.when(c < SURROGATES, c).otherwise(c - N_SURROGATES) - FIRST).cast("string")
+
+        def of_tokens(s):
+            return F.array_join(F.transform(F.split(F.substr(s, F.lit(2), F.char_length(s) - 2), ""), number), " ")
+
         def of_bytes(b):
-            def joined(parts):
-                return F.array_join(F.transform(parts, lambda x: self.rank(x).cast("string")), " ")
+            return bound(F.when(F.char_length(b) <= SHORT, self.folded(b)).otherwise(self.swept(b)), of_tokens)
 
-            whole = self.rank(b).cast("string")
-            return F.coalesce(whole, F.when(F.char_length(b) <= SHORT, joined(self._folded(b))).otherwise(joined(self._swept(b))))
+        return bound(F.decode(F.encode(piece, "UTF-8"), "ISO-8859-1"), of_bytes)
 
-        return _of(F.decode(F.encode(piece, "UTF-8"), "ISO-8859-1"), of_bytes)
 
 class Encoder:
-    """Column expressions of one vocabulary."""
+    """Column expressions of one vocabulary, which must have a token for each byte."""
 
     def __init__(self, vocabulary: dict[bytes, int], pattern: str):
         self.pattern = java_pattern(pattern)
-        self.table = _literal({k.decode("latin-1"): v for k, v in vocabulary.items()}, "int")
+        self.pairs = _literal(_pairs(vocabulary))
+        self.singles = "".join(sign(vocabulary[bytes([b])]) for b in range(256))
+        self.whole = {}  # tokens that may be a piece
+        for k, v in vocabulary.items():
+            try:
+                if START not in (piece := k.decode()) and END not in piece:
+                    self.whole[piece] = str(v)
+            except UnicodeDecodeError:
+                pass
         signs = [""] * (max(vocabulary.values()) + 1)
         for k, v in vocabulary.items():
             signs[v] = k.decode("latin-1")
@@ -163,9 +169,22 @@ class Encoder:
     def pieces(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
+    def each(self, known: Column, f) -> Column:
+        """``f`` of a function from a piece to its ids, which knows the pieces of the literal ``known``."""
+
+        def with_tables(pairs, held):
+            def ids(p):
+                here = F.split_part(F.get(held, _place(p)), F.concat(F.lit(START), p, F.lit(END)), F.lit(2))
+                told = F.split_part(here, F.lit(START), F.lit(1))
+                return F.when((told == "") | p.contains(START) | p.contains(END), Merges(pairs, self.singles).ids(p)).otherwise(told)
+
+            return f(ids)
+
+        return bound(self.pairs, lambda t: bound(known, lambda k: with_tables(t, k)))
+
     def remembered(self, docs: DataFrame, text_col: str) -> Column:
-        """A constant with the ids of the most frequent pieces of the whole corpus, at most REMEMBERED."""
-        pieces = docs.select(F.explode(self.pieces(F.col(text_col))).alias("piece")).filter(F.char_length("piece") <= LONGEST_REMEMBERED)
+        """A constant with the ids of all tokens and of the most frequent pieces of the whole corpus, at most REMEMBERED."""
+        pieces = docs.select(F.explode(self.pieces(F.col(text_col))).alias("piece")).filter((F.char_length("piece") <= LONGEST_REMEMBERED) & ~F.col("piece").contains(START) & ~F.col("piece").contains(END))
         counts = stored(pieces.groupBy("piece").count().withColumn("grade", F.floor(F.log2("count") * 8)))
         grades = sorted(((r["grade"], r["count"]) for r in counts.groupBy("grade").count().collect()), reverse=True)  # 512 at most
         least, held = None, 0
@@ -173,20 +192,18 @@ class Encoder:
             if held + n > REMEMBERED:
                 break
             least, held = grade, held + n
+        tokens = _literal(self.whole, END)
         if least is None:
-            return _literal({}, "string")
-        frequent = counts.filter(F.col("grade") >= least).select("piece", _of(self.table, lambda t: Merges(t).ids(F.col("piece"))).alias("ids"))
-        return _literal({r["piece"]: r["ids"] for r in frequent.toLocalIterator()}, "string")
+            return tokens
+        frequent = counts.filter(F.col("grade") >= least).select("piece", self.each(tokens, lambda ids: ids(F.col("piece"))).alias("ids"))
+        return _literal(self.whole | {r["piece"]: r["ids"] for r in frequent.toLocalIterator()}, END)
 
     def text_ids(self, text: Column, known: Column) -> Column:
-        def joined(table, known):
-            return F.array_join(F.transform(self.pieces(text), lambda p: F.coalesce(F.get(known, _place(p))[p], Merges(table).ids(p))), " ")
-
-        return _of(self.table, lambda t: _of(known, lambda k: joined(t, k)))
+        return self.each(known, lambda ids: F.array_join(F.transform(self.pieces(text), ids), " "))
 
     def bytes_of(self, ids: Column) -> Column:
         """The bytes of an array of ids, one after the other."""
-        return F.encode(F.array_join(F.transform(ids, lambda i: F.get(self.signs, i)), ""), "ISO-8859-1")
+        return bound(self.signs, lambda signs: F.encode(F.array_join(F.transform(ids, lambda i: F.get(signs, i)), ""), "ISO-8859-1"))
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
