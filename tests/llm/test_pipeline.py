@@ -31,3 +31,18 @@ def test_copies_without_ids_leave_one_row(spark):
     got = corpus_pipeline.exact_stage(spark, docs, "")
     assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == [(0, "c"), (1, "a b"), (1, "other")]
     assert corpus_pipeline.near_stage(spark, docs, "").count() >= 3
+
+
+def test_stages_keep_empty_tables_and_columns_with_their_own_names(spark):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, quality string, text_sha256 string, copies int, row string, kept boolean"
+    empty = stored(spark.createDataFrame([], schema))
+    long = "a house by the river where many people " * 4000
+    rows = [(1, long, "en", "s", 1, "q", "x", 2, "r", False), (2, long + " end", "en", "s", 1, "p", "x", 2, "r", True), (3, None, "en", None, 0, "o", "x", 2, "r", True)]
+    docs = stored(spark.createDataFrame(rows, schema))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, empty, SF).columns == empty.columns and stage(spark, empty, SF).count() == 0, name
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns, name
+        assert all(r.quality in "qpo" and r.text_sha256 == "x" and r.copies == 2 and r.row == "r" for r in got.collect()), name
+    assert corpus_pipeline.packing_stage(spark, empty, SF).count() == 0
+    assert corpus_pipeline.near_stage(spark, docs, SF).count() == 2
