@@ -11,6 +11,7 @@ earlier time of both; a cycle is then only begun earlier or in vain, so counts a
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,20 +47,20 @@ def _more(h: np.ndarray, word: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def places(lang: str, phrases: list[list[bytes]]) -> list[int]:
+def places(lang: str, phrases: list[list[bytes]], bits: int) -> list[int]:
     """Places of phrases of one length and language in the table."""
     start = np.uint64(xxhash.xxh64_intdigest(lang.encode()))
     h = np.full(len(phrases), start, np.uint64)
     for words in zip(*phrases):
         h = _more(h, _hashes(list(words)))
-    return (h >> np.uint64(64 - PLACE_BITS)).tolist()
+    return (h >> np.uint64(64 - bits)).tolist()
 
 
-def _cut(text: bytes) -> Iterator[bytes]:
-    """Parts of about TOGETHER bytes, ending where a piece ends."""
+def _cut(text: bytes, together: int) -> Iterator[bytes]:
+    """Parts of about ``together`` bytes, ending where a piece ends."""
     low = 0
     while low < len(text):
-        high = text.find(b"\n", low + TOGETHER)
+        high = text.find(b"\n", low + together)
         high = len(text) if high < 0 else high + 1
         yield text[low:high]
         low = high
@@ -90,8 +91,9 @@ def _counted(lang: str, text: bytes, reached: list[np.ndarray], step: int, shard
     h, code, at = _more(start, hashed), word, np.arange(len(word))  # of the phrases of k words that begin at ``at``
     if step < shards:
         yield _rows(lang, names, [np.arange(size)], np.bincount(word, minlength=size), 1, np.full(size, shards - 1))
+    bits = len(reached[0]).bit_length() - 1
     for k in range(2, len(reached) + 2):
-        seen = reached[k - 2][(h >> np.uint64(64 - PLACE_BITS)).astype(np.int64)]  # when each was reached
+        seen = reached[k - 2][(h >> np.uint64(64 - bits)).astype(np.int64)]  # when each was reached
         ok = seen != NOT_REACHED
         at, code, h, seen = at[ok], code[ok], h[ok], seen[ok].astype(np.int64)
         # a longer phrase: two reached ones that begin one word apart, within a piece
@@ -125,10 +127,11 @@ def _rows(lang: str, names: pa.Array, words: list[np.ndarray], n: np.ndarray, k:
     )
 
 
-def _scan(shard: DataFrame, reached: list[np.ndarray], step: int, shards: int) -> DataFrame:
-    tables = shard.sparkSession.sparkContext.broadcast(reached)  # fixed size
+def _scan(shard: DataFrame, reached: list[np.ndarray], step: int, shards: int, together: int) -> DataFrame:
+    packed = [zlib.compress(r, 1) for r in reached]  # of fixed size, and mostly empty
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = [np.frombuffer(zlib.decompress(p), np.uint8) for p in packed]
         for b in batches:
             held: dict[str, list[bytes]] = {}
             size: dict[str, int] = {}
@@ -136,18 +139,18 @@ def _scan(shard: DataFrame, reached: list[np.ndarray], step: int, shards: int) -
                 t = text.as_py().encode().translate(PIECE_BYTES)
                 held.setdefault(lang, []).append(t)
                 size[lang] = size.get(lang, 0) + len(t)
-                if size[lang] >= TOGETHER:
-                    for part in _cut(b"\n".join(held.pop(lang))):
-                        yield from _counted(lang, part, tables.value, step, shards)
+                if size[lang] >= together:
+                    for part in _cut(b"\n".join(held.pop(lang)), together):
+                        yield from _counted(lang, part, tables, step, shards)
                     size[lang] = 0
             for lang, texts in held.items():
-                for part in _cut(b"\n".join(texts)):
-                    yield from _counted(lang, part, tables.value, step, shards)
+                for part in _cut(b"\n".join(texts), together):
+                    yield from _counted(lang, part, tables, step, shards)
 
     return shard.mapInArrow(count, COUNTS)
 
 
-def _at(found: DataFrame) -> DataFrame:
+def _at(found: DataFrame, bits: int) -> DataFrame:
     """(k, place) of phrases that were reached."""
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,12 +159,12 @@ def _at(found: DataFrame) -> DataFrame:
             for lang, phrase, k in zip(*(b.column(i).to_pylist() for i in range(3))):
                 out.setdefault((lang, k), []).append(phrase.encode().split(b" "))
             for (lang, k), phrases in out.items():
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(phrases), pa.int32()), pa.array(places(lang, phrases), pa.int32())], ["k", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(phrases), pa.int32()), pa.array(places(lang, phrases, bits), pa.int32())], ["k", "place"])
 
     return found.select("lang", "phrase", "k").mapInArrow(locate, "k int, place int").distinct()
 
 
-def phrase_counts(docs: DataFrame, threshold: int, longest: int = 5, shards: int = SHARDS, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, threshold: int, longest: int = 5, shards: int = SHARDS, lang_col: str = "lang", text_col: str = "text", place_bits: int = PLACE_BITS, together: int = TOGETHER) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, k, n) of the phrases of at most ``longest`` words with n >= ``threshold``, (lang, n) of all words).
 
     Null texts are empty, null languages ``und``; a repeated row counts again; an empty table has no rows; other columns are not read.
@@ -170,19 +173,19 @@ def phrase_counts(docs: DataFrame, threshold: int, longest: int = 5, shards: int
     spark = docs.sparkSession
     src = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     dealt = stored(src.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int")), by="shard")
-    reached = [np.full(1 << PLACE_BITS, NOT_REACHED, np.uint8) for _ in range(longest - 1)]
+    reached = [np.full(1 << place_bits, NOT_REACHED, np.uint8) for _ in range(longest - 1)]
     state = spark.createDataFrame([], COUNTS)
     complete, totals, last, step = [], [], shards - 1, 0
     while step <= last:
         here = dealt.filter(F.col("shard") == step % shards).select("lang", "text")
-        added = state.filter(F.col("until") >= step).unionByName(_scan(here, reached, step, shards))
+        added = state.filter(F.col("until") >= step).unionByName(_scan(here, reached, step, shards, together))
         state = stored(added.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n"), F.max("until").alias("until")))
         ended = state.filter(F.col("until") == step)
         complete.append(ended.filter(F.col("n") >= threshold).select("lang", "phrase", "k", "n"))
         if step == shards - 1:
             totals = ended.filter("k = 1").groupBy("lang").agg(F.sum("n").alias("n"))
         fresh = 0
-        for r in _at(state.filter((F.col("n") >= threshold) & (F.col("k") < longest))).toLocalIterator():  # at most a row for each place of the table
+        for r in _at(state.filter((F.col("n") >= threshold) & (F.col("k") < longest)), place_bits).toLocalIterator():  # at most a row for each place of the table
             if reached[r["k"] - 1][r["place"]] == NOT_REACHED:
                 reached[r["k"] - 1][r["place"]] = step + 1
                 fresh += 1
