@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bodygrid.llm.common import stored
+from bodygrid.llm.common import new_path, remove, stored
 
 SHARDS = 3
 #: Places of the table, for each length, are two to this power.
@@ -172,18 +172,23 @@ def phrase_counts(docs: DataFrame, threshold: int, longest: int = 5, shards: int
     """
     spark = docs.sparkSession
     src = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    dealt = stored(src.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int")), by="shard")
+    texts, previous = new_path(spark), None
+    dealt = stored(src.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int")), by="shard", path=texts, codec="zstd")
     reached = [np.full(1 << place_bits, NOT_REACHED, np.uint8) for _ in range(longest - 1)]
     state = spark.createDataFrame([], COUNTS)
     complete, totals, last, step = [], [], shards - 1, 0
     while step <= last:
         here = dealt.filter(F.col("shard") == step % shards).select("lang", "text")
         added = state.filter(F.col("until") >= step).unionByName(_scan(here, reached, step, shards, together))
-        state = stored(added.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n"), F.max("until").alias("until")))
+        current = new_path(spark)
+        state = stored(added.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n"), F.max("until").alias("until")), path=current)
+        if previous:  # all of it that lasts is in the new table, or was written when it ended
+            remove(spark, previous)
+        previous = current
         ended = state.filter(F.col("until") == step)
-        complete.append(ended.filter(F.col("n") >= threshold).select("lang", "phrase", "k", "n"))
+        complete.append(stored(ended.filter(F.col("n") >= threshold).select("lang", "phrase", "k", "n")))
         if step == shards - 1:
-            totals = ended.filter("k = 1").groupBy("lang").agg(F.sum("n").alias("n"))
+            totals = stored(ended.filter("k = 1").groupBy("lang").agg(F.sum("n").alias("n")))
         fresh = 0
         for r in _at(state.filter((F.col("n") >= threshold) & (F.col("k") < longest)), place_bits).toLocalIterator():  # at most a row for each place of the table
             if reached[r["k"] - 1][r["place"]] == NOT_REACHED:
@@ -193,6 +198,8 @@ def phrase_counts(docs: DataFrame, threshold: int, longest: int = 5, shards: int
         step += 1
         if step >= NOT_REACHED:
             raise RuntimeError("more steps than the table can tell apart")
+    for done in (texts, previous):
+        remove(spark, done)
     found = complete[0]
     for c in complete[1:]:
         found = found.unionByName(c)

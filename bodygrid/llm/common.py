@@ -30,17 +30,28 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def stored(df: DataFrame, by: str | None = None) -> DataFrame:
+def new_path(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, by: str | None = None, path: str | None = None, codec: str | None = None) -> DataFrame:
     """``df`` written as a table into the shared folder and read again: lineage ends here, and lost executors lose nothing.
 
     Row numbers and other values that depend on the order of rows are fixed by it. The files stay until the folder is
-    cleared, as lazy results may still read them. ``by``: a column whose values get folders of their own.
+    cleared, as lazy results may still read them. ``by``: a column whose values get folders of their own. A caller that
+    knows when nothing reads the table any more names its ``path`` and removes it.
     """
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path, partitionBy=by)
+    path = path or new_path(df.sparkSession)
+    df.write.parquet(path, partitionBy=by, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table that ``stored`` wrote, by the file system it is in."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def words(text: Column) -> Column:
     """Words of a text in order; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
