@@ -6,7 +6,8 @@ step opens, from the next step on, the longer phrases whose other subphrase has
 full cycle from where it was opened, so each shard once, and is then complete.
 
 When a phrase was reached is kept in a table of fixed size, by hash. Phrases that share a place open what contains them at the
-earlier time of both; a cycle is then only begun earlier or in vain, so counts are exact whatever the table's size.
+earlier time of both, but not before their own parts are open, as no step sees them until then; a cycle is then only begun earlier
+or in vain, so counts are exact whatever the table's size.
 """
 
 from __future__ import annotations
@@ -89,13 +90,15 @@ def _counted(lang: str, text: bytes, reached: list[np.ndarray], step: int, shard
     size = len(names)
     start = np.full(len(word), xxhash.xxh64_intdigest(lang.encode()), np.uint64)
     h, code, at = _more(start, hashed), word, np.arange(len(word))  # of the phrases of k words that begin at ``at``
+    since = np.zeros(len(word), np.int64)  # the first step that sees them here
     if step < shards:
         yield _rows(lang, names, [np.arange(size)], np.bincount(word, minlength=size), 1, np.full(size, shards - 1))
     bits = len(reached[0]).bit_length() - 1
     for k in range(2, len(reached) + 2):
         seen = reached[k - 2][(h >> np.uint64(64 - bits)).astype(np.int64)]  # when each was reached
         ok = seen != NOT_REACHED
-        at, code, h, seen = at[ok], code[ok], h[ok], seen[ok].astype(np.int64)
+        at, code, h = at[ok], code[ok], h[ok]
+        seen = np.maximum(seen[ok].astype(np.int64), since[ok])  # a shared place may be older than the phrase's own parts
         # a longer phrase: two reached ones that begin one word apart, within a piece
         follows = np.flatnonzero(np.diff(at) == 1)
         last = at[follows] + k - 1
@@ -106,7 +109,7 @@ def _counted(lang: str, text: bytes, reached: list[np.ndarray], step: int, shard
         if not len(follows):
             return
         opened = np.maximum(seen[follows], seen[follows + 1])
-        at, h = at[follows], _more(h[follows], hashed[last])
+        at, h, since = at[follows], _more(h[follows], hashed[last]), opened
         keys, code = np.unique(code[follows] * size + word[last], return_inverse=True)
         now = (opened <= step) & (step < opened + shards)
         n = np.bincount(code[now], minlength=len(keys))

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import time
 
@@ -177,6 +178,18 @@ def test_counts_do_not_depend_on_the_size_of_the_table(docs):
     assert got[0] == got[1] and got[0]
 
 
+@pytest.mark.parametrize("seed", [19, 44, 47])
+def test_shared_places_never_shorten_a_cycle(spark, seed):
+    """Few words and a table of 32 places: a place may be taken before the words of a phrase have been reached."""
+    r = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(12)]
+    texts = [" ".join(r.choices(vocabulary, weights=[r.random() ** 3 + 0.01 for _ in vocabulary], k=3000)) for _ in range(3)]
+    docs = spark.createDataFrame([("x", t) for t in texts], "lang string, text string").coalesce(1)
+    want = collections.Counter(" ".join(w[i : i + k]) for w in map(str.split, texts) for k in range(1, 6) for i in range(len(w) - k + 1))
+    got = collocations.phrase_counts(docs, 20, place_bits=5)[0].collect()
+    assert {x.phrase: x.n for x in got} == {p: n for p, n in want.items() if n >= 20} and len(got) > 200
+
+
 def test_time_of_spans_grows_with_the_matches(spark):
     def seconds(n, f, unit):
         df = spark.createDataFrame([(1, unit * n)], "doc_id bigint, text string")
