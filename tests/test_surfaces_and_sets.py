@@ -77,3 +77,12 @@ def test_owner_sets_are_those_of_the_atoms(spark):
     assert {(r.g, r.owner_count) for r in layers.select("g", "owner_count").distinct().collect()} == {(g, len(o)) for g, o in want}
     selected = spark.createDataFrame([("x", f"o{i}") for i in range(8)], "g string, owner string")
     assert {r.owner for r in rf.without_geometry(selected, cov, ["g", "owner"]).collect()} == {f"o{i}" for i in range(8)} - {o for g, o, _ in rows if g == "x"}
+
+
+def test_equally_near_surfaces_are_decided_by_name(spark):
+    v, t = tables(spark, [box("a", (7, 35, -18), (6, 7, 6)), box("b", (10, 37, -12), (4, 6, 7))])  # both have a face at z = -12
+    p = spark.createDataFrame([("p", 10.85, 40.137, -13.709)], "point_id string, x double, y double, z double")
+    r = ms.nearest_surface(p, v, t, 4.0).first()
+    assert r.mesh_id == "a" and math.isclose(r.distance, 1.709)
+    spots = spark.createDataFrame([("m", 0.0, 0.0, 0.0), ("n", 0.1, 0.2, 0.3), ("o", 0.3, 0.1, 0.2)], "mesh_id string, x double, y double, z double")
+    assert ms.nearest_other(spots.filter("mesh_id = 'm'"), spots, 1.0).first().other == "n"
