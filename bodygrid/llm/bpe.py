@@ -1,44 +1,48 @@
-"""Byte-level BPE by higher-order functions over a literal rank map.
-
-A text is cut by the vocabulary's pattern. The bytes of a piece are written as a string of one character per token, and merges are
-folded over it: in each round the neighbours of the least rank become one. The rank of a pair is the id of the merged token, so
-the ranks of all neighbours are a string too, whose least character is the next token. Ranks are looked up in a literal map of
-pairs, one short string for each of 2^16 hash places. The most frequent distinct pieces of the corpus, a bounded number, are encoded
-once and then looked up whole, as are pieces that are tokens; all others are folded where they stand. Decoding looks up the
-bytes of each id and concatenates them.
+"""Byte-level BPE by ranked merges.
+
+A task cuts each whole text by the vocabulary's pattern and remembers the ids of its pieces, a bounded number; a new piece
+is merged over a heap of the ranks of its neighbours, in time that grows little faster than the piece. Texts don't leave their rows,
+so nothing is shuffled and the driver gets nothing. Decoding looks up the bytes of each id and concatenates them.
+
+``Merges`` says the same merges as column expressions, for sessions without Python tasks: the bytes of a piece are a string of one
+character per token, in each round the neighbours of the least rank become one, and ranks are looked up in a literal map of pairs,
+one short string for each of 2^16 hash places.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import json
 import zlib
+from functools import cached_property
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bodygrid.functions.once import once
-from bodygrid.llm.common import stored
 from bodygrid.llm.spans import bound
 
 #: Places of the literal maps.
 PLACES = 1 << 16
-#: Pieces that are encoded once, at most, and their longest length in characters.
-REMEMBERED = 1 << 17
+#: Pieces that a task remembers before it starts afresh, and their longest length in characters; bounds memory, never changes a result.
+REMEMBERED = 1 << 18
 LONGEST_REMEMBERED = 32
-#: Pieces of more bytes merge all equal neighbours in a round, so that rounds are few.
+#: Texts whose ids leave a task together.
+TOGETHER = 256
+#: Pieces of more bytes merge, as expressions, all equal neighbours in a round, so that rounds are few.
 SHORT = 64
 #: Characters for what is beside a piece, and for the rank of a pair that is no token; tokens are written as characters between.
 EDGE, NONE = "\x01", "\U0010ffff"
-#: Marks before a key and before its value in the literals.
-START, END = "\x02", "\x03"
+#: Marks a key in the literal.
+START = "\x02"
 FIRST, SURROGATES, N_SURROGATES = 0x100, 0xD800, 0x800
 #: White space of the vocabulary's pattern, which is that of Unicode.
 BLANK = r"\t-\r\x20\x85\xA0  -     　"
 
 
-def java_pattern(pattern: str) -> str:
-    """The pattern with its white space spelled out: Java's own is that of ASCII."""
+def spelled(pattern: str) -> str:
+    """The pattern with its white space spelled out: Python's own has four more characters."""
     return pattern.replace(r"[^\s", rf"[^{BLANK}").replace(r"\S", rf"[^{BLANK}]").replace(r"\s", rf"[{BLANK}]")
 
 
@@ -62,11 +66,11 @@ def _place(s: Column) -> Column:
     return F.pmod(F.crc32(F.encode(s, "UTF-8")), F.lit(PLACES)).cast("int")
 
 
-def _literal(entries: dict[str, str], end: str = "") -> Column:
-    """``entries`` as a constant: at each place one string of the keys that are hashed to it, each with ``end`` and its value."""
+def _literal(entries: dict[str, str]) -> Column:
+    """``entries`` as a constant: at each place one string of the keys that are hashed to it, each with its value."""
     texts = [""] * PLACES
     for k, v in entries.items():
-        texts[zlib.crc32(k.encode()) % PLACES] += START + k + end + v
+        texts[zlib.crc32(k.encode()) % PLACES] += START + k + v
     return F.from_json(F.lit(json.dumps(texts, ensure_ascii=False)), "array<string>")
 
 
@@ -147,59 +151,88 @@ class Merges:
         return bound(F.decode(F.encode(piece, "UTF-8"), "ISO-8859-1"), of_bytes)
 
 
+def merged(piece: bytes, vocabulary: dict[bytes, int]) -> list[int]:
+    """Ids of a piece: of neighbours whose union is a token those of least rank are merged, leftmost first, until there are none."""
+    n = len(piece)
+    ends = list(range(1, n + 1))  # of the token that starts here, 0 where none does
+    before = list(range(-1, n - 1))
+    get, heap = vocabulary.get, []
+
+    def offer(i, k):
+        r = get(piece[i:k])
+        if r is not None:
+            heapq.heappush(heap, (r, i, k))
+
+    for i in range(n - 1):
+        offer(i, i + 2)
+    while heap:
+        _, i, k = heapq.heappop(heap)
+        j = ends[i]
+        if not j or j >= n or ends[j] != k:
+            continue  # one of the two was merged since
+        ends[i], ends[j] = k, 0
+        if k < n:
+            before[k] = i
+            offer(i, ends[k])
+        if i:
+            offer(before[i], k)
+    ids, i = [], 0
+    while i < n:
+        ids.append(vocabulary[piece[i : ends[i]]])
+        i = ends[i]
+    return ids
+
+
+class Pieces(dict):
+    """Ids of pieces, joined by blanks."""
+
+    def __init__(self, vocabulary: dict[bytes, int]):
+        self.vocabulary = vocabulary
+
+    def __missing__(self, piece: str) -> str:
+        b = piece.encode()
+        whole = self.vocabulary.get(b)
+        v = " ".join(map(str, merged(b, self.vocabulary))) if whole is None else str(whole)
+        if len(piece) <= LONGEST_REMEMBERED:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = v
+        return v
+
+
 class Encoder:
     """Column expressions of one vocabulary, which must have a token for each byte."""
 
     def __init__(self, vocabulary: dict[bytes, int], pattern: str):
-        self.pattern = java_pattern(pattern)
-        self.pairs = _literal(_pairs(vocabulary))
+        self.vocabulary, self.pattern = vocabulary, spelled(pattern)
         self.singles = "".join(sign(vocabulary[bytes([b])]) for b in range(256))
-        self.whole = {}  # tokens that may be a piece
-        for k, v in vocabulary.items():
-            try:
-                if START not in (piece := k.decode()) and END not in piece:
-                    self.whole[piece] = str(v)
-            except UnicodeDecodeError:
-                pass
-        signs = [""] * (max(vocabulary.values()) + 1)
-        for k, v in vocabulary.items():
+
+    @cached_property
+    def pairs(self) -> Column:
+        return _literal(_pairs(self.vocabulary))
+
+    @cached_property
+    def signs(self) -> Column:
+        signs = [""] * (max(self.vocabulary.values()) + 1)
+        for k, v in self.vocabulary.items():
             signs[v] = k.decode("latin-1")
-        self.signs = F.from_json(F.lit(json.dumps(signs, ensure_ascii=False)), "array<string>")
-
-    def pieces(self, text: Column) -> Column:
-        return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
-
-    def each(self, known: Column, f) -> Column:
-        """``f`` of a function from a piece to its ids, which knows the pieces of the literal ``known``."""
-
-        def with_tables(pairs, held):
-            def ids(p):
-                here = F.split_part(F.get(held, _place(p)), F.concat(F.lit(START), p, F.lit(END)), F.lit(2))
-                told = F.split_part(here, F.lit(START), F.lit(1))
-                return F.when((told == "") | p.contains(START) | p.contains(END), Merges(pairs, self.singles).ids(p)).otherwise(told)
-
-            return f(ids)
-
-        return bound(self.pairs, lambda t: bound(known, lambda k: with_tables(t, k)))
-
-    def remembered(self, docs: DataFrame, text_col: str) -> Column:
-        """A constant with the ids of all tokens and of the most frequent pieces of the whole corpus, at most REMEMBERED."""
-        pieces = docs.select(F.explode(self.pieces(F.col(text_col))).alias("piece")).filter((F.char_length("piece") <= LONGEST_REMEMBERED) & ~F.col("piece").contains(START) & ~F.col("piece").contains(END))
-        counts = stored(pieces.groupBy("piece").count().withColumn("grade", F.floor(F.log2("count") * 8)))
-        grades = sorted(((r["grade"], r["count"]) for r in counts.groupBy("grade").count().collect()), reverse=True)  # 512 at most
-        least, held = None, 0
-        for grade, n in grades:
-            if held + n > REMEMBERED:
-                break
-            least, held = grade, held + n
-        tokens = _literal(self.whole, END)
-        if least is None:
-            return tokens
-        frequent = counts.filter(F.col("grade") >= least).select("piece", self.each(tokens, lambda ids: ids(F.col("piece"))).alias("ids"))
-        return _literal(self.whole | {r["piece"]: r["ids"] for r in frequent.toLocalIterator()}, END)
-
-    def text_ids(self, text: Column, known: Column) -> Column:
-        return self.each(known, lambda ids: F.array_join(F.transform(self.pieces(text), ids), " "))
+        return F.from_json(F.lit(json.dumps(signs, ensure_ascii=False)), "array<string>")
+
+    def text_ids(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, ids_text) of (doc_id, text)."""
+        pattern, vocabulary = self.pattern, self.vocabulary
+
+        def encode(batches):
+            import regex
+
+            cut, ids = regex.compile(pattern).findall, Pieces(vocabulary)
+            for b in batches:
+                for k in range(0, b.num_rows, TOGETHER):
+                    part = b.slice(k, TOGETHER)
+                    texts = [" ".join([ids[p] for p in cut(t.as_py() or "")]) for t in part.column(1)]
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["doc_id", "ids_text"])
+
+        return docs.mapInArrow(encode, f"doc_id {dict(docs.dtypes)['doc_id']}, ids_text string")
 
     def bytes_of(self, ids: Column) -> Column:
         """The bytes of an array of ids, one after the other."""
@@ -209,12 +242,9 @@ class Encoder:
 def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids_text, ids): the ids of each whole text, joined by blanks and as an array.
 
-    Null and empty texts have none; a repeated row has its own; an empty table gives none; other columns are not read. A piece of
-    one kind of character is merged in about as many rounds as it has different merges, however long it is.
+    Null and empty texts have none; a repeated row has its own; an empty table gives none; other columns are not read.
     """
-    e = Encoder(ranks(path), pattern)
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    out = once(src, {"ids_text": e.text_ids(F.col("text"), e.remembered(src, "text"))}).select("doc_id", "ids_text")
+    out = Encoder(ranks(path), pattern).text_ids(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     return out.withColumn("ids", F.when(F.col("ids_text") == "", F.array().cast("array<int>")).otherwise(F.split("ids_text", " ").cast("array<int>")))
 
 

@@ -143,6 +143,16 @@ def test_bpe_of_another_vocabulary(spark):
                 assert r.s[1:-1] == "".join(map(bpe.sign, enc.encode_ordinary(r.t))), (name, r.t)
 
 
+def test_bpe_texts_stay_in_their_rows(spark, docs):
+    sc = spark.sparkContext
+    sc.setJobGroup("bpe", "bpe")
+    ids = bpe.encoded(docs, BYTES, public_tokenizers.PATTERN)
+    assert ids.columns == ["doc_id", "ids_text", "ids"] and not sc.statusTracker().getJobIdsForGroup("bpe")  # no counts are gathered first
+    vocabulary = bpe.ranks(BYTES)
+    long = "".join(np.random.default_rng(2).choice(list("theandingos"), 30_000))
+    assert bpe.merged(long.encode(), vocabulary) == tiktoken.Encoding("own", pat_str=r"\p{L}+", mergeable_ranks=vocabulary, special_tokens={}).encode_ordinary(long)
+
+
 def phrases(rows, threshold, longest=5, top=2000):
     count, total = collections.Counter(), collections.Counter()
     for r in rows:
