@@ -162,17 +162,17 @@ def _repeated(d: DataFrame) -> DataFrame:
 def encode_body(points: DataFrame, levels: DataFrame, digits: int) -> DataFrame:
     """Points to BD cells with clamp and fold flags. points: template_id, x, y, z and anything else.
 
-    A point meets its template's levels as rows, which are reduced to one row per point
-    before any shuffle; equal input rows are kept as often as they occur. A point of an
+    Equal input rows are brought together first, meet their template's levels as rows once, which are reduced
+    to one row per point where they are, and are kept as often as they occur. A point of an
     unknown template has no cell and the error ``no_template``; a NaN or missing coordinate
     is refused too.
     """
     keep = points.columns
-    j = point_levels(points, levels)
+    j = point_levels(points.groupBy(*keep).agg(F.count(F.lit(1)).alias("_copies")), levels)
     own = F.struct(C("_pos").alias("pos"), C("_label").alias("label"), C("_a").alias("a"), C("_b").alias("b"), C("_t").alias("t"), C("_r").alias("r"), (C("_back") & (C("_r") <= 1)).alias("back"))
     near = F.struct(C("_d").alias("d"), C("_pos").alias("p"), own.alias("s"))
     g = j.groupBy(*keep).agg(
-        _copies().alias("_copies"),
+        F.max("_copies").alias("_copies"),
         F.max(C("_claim").cast("int")).alias("_any"),
         F.count_if("_claim").alias("_nc"),
         F.count_if("_back").alias("_nb"),
@@ -182,11 +182,10 @@ def encode_body(points: DataFrame, levels: DataFrame, digits: int) -> DataFrame:
         F.max(F.when(C("_pos") == 0, own)).alias("_first"),
         F.max(F.when(C("_pos") == C("_last"), own)).alias("_end"),
     )
-    n = C("_copies")
     case = F.when(C("_any") == 1, "claimed").when(C("_first.a") < 0, "above").when(C("_end.b") >= 0, "below").otherwise("gap")
     g = g.withColumn("_case", case)
     s = F.when(C("_case") == "claimed", C("_best.s")).when(C("_case") == "above", C("_first")).when(C("_case") == "below", C("_end")).otherwise(C("_near.s"))
-    g = g.select(*keep, "_case", (C("_nc") / n).alias("_nc"), (C("_nb") / n).alias("_nb"), (C("_reach") / n).alias("_reach"), n.alias("_copies"), s.alias("_s"))
+    g = g.select(*keep, "_case", "_nc", "_nb", "_reach", "_copies", s.alias("_s"))
     names = ["pos", "label", "a", "b", "t", "r", "back"]
     g = g.select(*[c for c in g.columns if c != "_s"], *[C(f"_s.{x}").alias(f"_{x}") for x in names])
     edge = F.lit(pt.NEAR_ONE)
@@ -295,7 +294,8 @@ def locate_body(cells: DataFrame, geo: DataFrame, max_useful_digits: int) -> Dat
             "_dr": F.when(whole, 1.0).otherwise(0.5 / n),
         },
     )
-    d = d.join(geo, "template_id", "left")
+    # At most 32 levels per template.
+    d = d.join(broadcast_if_small(geo, 1_000), "template_id", "left")
     d = once(d, {"_s": F.get(F.filter("levels", lambda s: s["label"] == C("level")), F.lit(0))})
     d = local_to_mm(d, "_s", C("_uu"), C("_tt"), C("_rr"))
     surface = radius_at(C("_s")["radii"], C("_tt"))
@@ -323,12 +323,17 @@ def locate_body(cells: DataFrame, geo: DataFrame, max_useful_digits: int) -> Dat
     return d.select(*keep, "level", *out, "extent_axial", "extent_arc", "extent_radial", "homology", "over_precise", "folded", "axes")
 
 
-def coarsest_resolvable(cells: DataFrame, geo: DataFrame, max_useful_digits: int) -> DataFrame:
-    """Coarsest ancestor (or self) of each cell that the template can place; NULL when none can."""
-    a = cells.select("template_id", "cell_key", F.explode(ad.ancestor_keys(C("cell_key"), True)).alias("_a"))
-    loc = locate_body(a.select("template_id", C("cell_key").alias("_own"), C("_a").alias("cell_key")), geo, max_useful_digits)
-    ok = F.when(C("homology") == "exact", C("cell_key"))
-    return loc.groupBy("template_id", C("_own").alias("own")).agg(F.min_by(ok, F.when(ok.isNotNull(), ad.key_rung(C("cell_key")))).alias("coarsest")).withColumnRenamed("own", "cell_key")
+def coarsest_resolvable(cells: DataFrame, geo: DataFrame) -> DataFrame:
+    """Coarsest ancestor (or self) of each cell that the template can place; NULL when none can.
+
+    A cell and its ancestors are of one level, and what can be placed is decided by the level alone: it is the whole level, or nothing.
+    """
+    d = cells.select("template_id", "cell_key").filter("cell_key is not null").distinct()
+    has = geo.select("template_id", F.transform("levels", lambda s: s["label"]).alias("_has"))
+    lo = ad.key_lo(C("cell_key"))
+    level = F.element_at(F.array(*[F.lit(x) for x in fr.LEVELS]), F.floor(F.call_function("shiftright", lo, F.lit(36)) / 24).cast("int") + 1)
+    d = d.join(broadcast_if_small(has, 1_000), "template_id", "left")
+    return d.select("template_id", "cell_key", F.when(F.array_contains("_has", level), ad.key_at(lo, F.lit(0))).alias("coarsest"))
 
 
 REGION = {"C": "cervical", "T": "thoracic", "L": "lumbar", "S": "sacral"}

@@ -140,7 +140,7 @@ def body_cells(spark, sf):
 
 @query(ctes(T.LINEITEM_CELLS_SQL).rstrip() + LOC + f" SELECT template_id, cell, CASE WHEN i < {N} THEN left(cell, 6) END AS coarsest FROM lc")
 def coarsest_placeable(spark, sf):
-    d = bd.coarsest_resolvable(body_cells(spark, sf), geometry(spark, sf), 3)
+    d = bd.coarsest_resolvable(body_cells(spark, sf), geometry(spark, sf))
     return d.select("template_id", text().alias("cell"), text("coarsest").alias("coarsest"))
 
 
