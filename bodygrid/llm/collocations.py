@@ -39,7 +39,7 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), ">u8").astype(np.uint64)
 
 
 def _more(h: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -71,15 +71,33 @@ def _words(text: bytes) -> tuple[pa.DictionaryArray, np.ndarray]:
     """Words of a translated text, and the number of the piece that each is in."""
     b = np.frombuffer(text, np.uint8)
     inside = (b != 10) & (b != 32)
-    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    piece = np.cumsum(b == 10)[start]
+    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    start, end = edge[::2], edge[1::2]
+    piece = np.cumsum(b == 10, dtype=np.int32)[start]
     at = np.zeros(len(start) + 1, np.int32)
     np.cumsum(end - start, out=at[1:])
-    words = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(b[inside]))])
+    words = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(at), pa.py_buffer(text.translate(None, b"\n "))])
     return words.dictionary_encode(), piece
 
 
+def _numbered(number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where each distinct value is first, the number of its value for every row), by a hash table instead of a sort."""
+    number = pa.array(number).dictionary_encode().indices.to_numpy(zero_copy_only=False)  # in the order of appearance
+    return np.flatnonzero(np.diff(np.maximum.accumulate(number), prepend=-1)), number
+
+
+def _phrases(h: np.ndarray, at: np.ndarray, word: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """``_numbered`` for phrases of ``k`` words that begin at ``at``, by their hashes where these tell them apart, else by their words."""
+    first, number = _numbered(h)
+    model = at[first][number]
+    if all(np.array_equal(word[at + i], word[model + i]) for i in range(k)):
+        return first, number
+    number = word[at]
+    for i in range(1, k):
+        first, number = _numbered(number.astype(np.int64) << 32 | word[at + i])
+    return first, number
+
+
 def _counted(lang: str, text: bytes, reached: list[np.ndarray], step: int, shards: int) -> Iterator[pa.RecordBatch]:
     """Counts of the phrases of a text whose cycle is open at ``step``."""
     coded, piece = _words(text)
@@ -89,7 +107,7 @@ def _counted(lang: str, text: bytes, reached: list[np.ndarray], step: int, shard
     hashed = _hashes(names.to_pylist())[word]
     size = len(names)
     start = np.full(len(word), xxhash.xxh64_intdigest(lang.encode()), np.uint64)
-    h, code, at = _more(start, hashed), word, np.arange(len(word))  # of the phrases of k words that begin at ``at``
+    h, at = _more(start, hashed), np.arange(len(word))  # of the phrases of k words that begin at ``at``
     since = np.zeros(len(word), np.int64)  # the first step that sees them here
     if step < shards:
         yield _rows(lang, names, [np.arange(size)], np.bincount(word, minlength=size), 1, np.full(size, shards - 1))
@@ -97,7 +115,7 @@ def _counted(lang: str, text: bytes, reached: list[np.ndarray], step: int, shard
     for k in range(2, len(reached) + 2):
         seen = reached[k - 2][(h >> np.uint64(64 - bits)).astype(np.int64)]  # when each was reached
         ok = seen != NOT_REACHED
-        at, code, h = at[ok], code[ok], h[ok]
+        at, h = at[ok], h[ok]
         seen = np.maximum(seen[ok].astype(np.int64), since[ok])  # a shared place may be older than the phrase's own parts
         # a longer phrase: two reached ones that begin one word apart, within a piece
         follows = np.flatnonzero(np.diff(at) == 1)
@@ -110,23 +128,18 @@ def _counted(lang: str, text: bytes, reached: list[np.ndarray], step: int, shard
             return
         opened = np.maximum(seen[follows], seen[follows + 1])
         at, h, since = at[follows], _more(h[follows], hashed[last]), opened
-        keys, code = np.unique(code[follows] * size + word[last], return_inverse=True)
-        now = (opened <= step) & (step < opened + shards)
-        n = np.bincount(code[now], minlength=len(keys))
-        until = np.zeros(len(keys), np.int64)
-        until[code] = opened + shards - 1
-        first = np.zeros(len(keys), np.int64)
-        first[code] = at
-        counted = np.flatnonzero(n)
-        if len(counted):
-            yield _rows(lang, names, [word[first[counted] + i] for i in range(k)], n[counted], k, until[counted])
+        now = np.flatnonzero((opened <= step) & (step < opened + shards))
+        if len(now):  # only these are told apart; of the others the hash is enough to find what contains them
+            first, number = _phrases(h[now], at[now], word, k)
+            where = now[first]
+            yield _rows(lang, names, [word[at[where] + i] for i in range(k)], np.bincount(number), k, opened[where] + shards - 1)
 
 
 def _rows(lang: str, names: pa.Array, words: list[np.ndarray], n: np.ndarray, k: int, until: np.ndarray) -> pa.RecordBatch:
     parts = [names.take(pa.array(w)).cast(pa.string()) for w in words]
     phrase = pc.binary_join_element_wise(*parts, " ") if k > 1 else parts[0]
     return pa.RecordBatch.from_arrays(
-        [pa.array([lang] * len(n), pa.string()), phrase, pa.array(np.full(len(n), k), pa.int32()), pa.array(n, pa.int64()), pa.array(until, pa.int32())], ["lang", "phrase", "k", "n", "until"]
+        [pa.repeat(pa.scalar(lang, pa.string()), len(n)), phrase, pa.array(np.full(len(n), k), pa.int32()), pa.array(n, pa.int64()), pa.array(until, pa.int32())], ["lang", "phrase", "k", "n", "until"]
     )
 
 

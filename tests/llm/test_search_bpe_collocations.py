@@ -226,3 +226,22 @@ def test_spans_and_overlaps(spark):
     kind = "array<struct<start:int,end:int>>"
     for r in spark.createDataFrame(rows, f"a {kind}, b {kind}").select("a", "b", spans.apart(F.col("a"), F.col("b")).alias("c")).collect():
         assert r.c == [x for x in r.a if not any(y.start < x.end and x.start < y.end for y in r.b)]
+
+
+def test_phrases_are_told_apart_by_their_words_where_hashes_meet():
+    word = np.array([3, 1, 3, 1, 2, 3, 1])
+    at = np.arange(6)
+    for h in (np.array([5, 6, 5, 7, 8, 5], np.uint64), np.zeros(6, np.uint64)):
+        first, number = collocations._phrases(h, at, word, 2)
+        assert first.tolist() == [0, 1, 3, 4] and number.tolist() == [0, 1, 0, 2, 3, 0]
+
+
+def test_phrases_are_numbered_only_while_their_cycle_is_open(monkeypatch):
+    asked = []
+    monkeypatch.setattr(collocations, "_phrases", lambda h, *a, f=collocations._phrases: asked.append(len(h)) or f(h, *a))
+    reached = [np.full(1 << 10, collocations.NOT_REACHED, np.uint8) for _ in range(4)]
+    reached[0][collocations.places("en", [[b"a"], [b"b"]], 10)] = 1
+    text = b"a b a b\nb a c a b"
+    got = [sorted((r["phrase"], r["n"], r["until"]) for b in collocations._counted("en", text, reached, step, 3) for r in b.to_pylist() if r["k"] == 2) for step in range(5)]
+    pairs = [("a b", 3, 3), ("b a", 2, 3)]
+    assert got == [[], pairs, pairs, pairs, []] and asked == [5, 5, 5]
