@@ -92,3 +92,21 @@ def test_versions_are_compared_before_cells_meet_them(spark):
     assert got == sorted(want) and {w[2] for w in want} == {"added", "removed", "changed"}
     plan = d._jdf.queryExecution().optimizedPlan().toString()
     assert "FullOuter" not in plan
+
+
+def test_intersections_need_no_rolling_up_of_pairs(spark):
+    rng = random.Random(7)
+    eight = [("s1", f"BV-L-1{i}") for i in range(8)] + [("s2", f"BV-L-12{i}") for i in range(8)]
+    a, b = [(s, c) for s, c in random_index(rng)] + [("s20", c) for _, c in eight], [(s, c) for s, c in random_index(rng) + eight]
+    table = lambda rows, name: keyed(spark, rows, f"{name} string, cell string").drop("cell")
+    left, right = table(a, "a"), table(b, "b")
+    d = cv.intersect(left, right, "a", "b")
+    want = cv.normalize(d, ["a", "b"])
+    got = sorted(map(tuple, d.select("a", "b", "cell_key").collect()))
+    assert got == sorted(map(tuple, want.select("a", "b", "cell_key").collect())) and len(got) == len(set(got))
+    share = lambda rows, i: [c for j, c in rows if j == i]
+    finest = [f"BV-L-{i:03o}" for i in range(512)]  # no cell of these is finer
+    held = {(i, j, f) for i in {x for x, _ in a} for j in {x for x, _ in b} for f in finest if any(f.startswith(c) for c in share(a, i)) and any(f.startswith(c) for c in share(b, j))}
+    text = d.select("a", "b", ad.cell_text(d["cell_key"]).alias("c")).collect()
+    assert {(r["a"], r["b"], f) for r in text for f in finest if f.startswith(r["c"])} == held
+    assert "Aggregate" not in over(d)
